@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strata.llm import quality_rules
+from strata.llm import bpe, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op7_byte_bpe": bpe.query,
 }
 
 ORACLE_SQL = {
