@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, quality_rules
+from strata.llm import bpe, quality_rules, secrets
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op6_secret_scan": secrets.query,
     "op7_byte_bpe": bpe.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle_sql(),
+    "op6_secret_scan": secrets.oracle_sql(),
 }
