@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, near_dedup, quality_classifier, quality_rules, secrets
+from strata.llm import bpe, media, near_dedup, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_quality_classifier": quality_classifier.query,
     "op4_minhash_forest": near_dedup.query,
+    "op5_flac_media": media.query,
     "op6_secret_scan": secrets.query,
     "op7_byte_bpe": bpe.query,
 }
