@@ -44,3 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the shared checkpoint folder, so a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a side that may be broadcast, once a count has shown that it has no more.
+BROADCAST_ROWS = 20_000
+
+
+def beside(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that broadcasts its right side only if a count finds it small; else a plain one, which
+    adaptive execution can split where a key is hot."""
+    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if small else right, on, how)

@@ -32,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, table
+from strata.llm.common import beside, cut, table
 
 TREES, HASHES = 16, 64
 DEPTHS = (3, 6, 12)
 #: Rows compared with each other in one task, at most; larger regions are divided.
 REGION = 4096
-#: Rows of a side that may be broadcast, after a count.
-BROADCAST_ROWS = 20_000
 
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -77,7 +75,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     n = len(w) - width + 1
     x = np.zeros(n, np.uint64)
     for i in range(width):
-        x += _mixed(w[i : i + n] + _P[i])  if i else w[:n] * _P[0]
+        x += _mixed(w[i : i + n] + _P[i]) if i else w[:n] * _P[0]
         x *= _P[32 + i]
     return np.unique(_mixed(x))
 
@@ -126,11 +124,6 @@ def sketches(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
     return held.mapInArrow(run, f"doc_id {kind}, row binary, n_shingles bigint, digest binary, minima binary, bytes binary")
 
 
-def _beside(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A join whose right side is broadcast only when a count has shown it to be small."""
-    return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right, on, how)
-
-
 def _regions(nodes: DataFrame) -> DataFrame:
     """A row for each node and tree: (block, digest, bytes, comp, pivot, pivot_bytes); rows of equal block are compared."""
     again = F.concat("minima", "minima")
@@ -147,7 +140,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
         if large.isEmpty():
             kept, rows = rows, None
         else:
-            marked = _beside(rows, large, "block", "left")
+            marked = beside(rows, large, "block", "left")
             kept, rows = marked.where(F.col("n").isNull()), marked.where(F.col("n").isNotNull())
         kept = kept.select("block", "digest", "bytes", "comp", *([F.col("pivot"), F.col("pivot_bytes")] if i else pivots))
         done = kept if done is None else done.unionByName(kept)
@@ -244,7 +237,7 @@ def confirmed(df: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, per
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     rows = cut(nodes.select("digest", "row").join(ends, "digest", "left_semi"))
     held = df.select(_row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
-    texts = cut(_beside(held, rows, "row").groupBy("digest").agg(F.min("text").alias("text")))
+    texts = cut(beside(held, rows, "row").groupBy("digest").agg(F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
