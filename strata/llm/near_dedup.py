@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import beside, cut, table
+from strata.llm.common import beside, cut, fresh, table
 
 TREES, HASHES = 16, 64
 DEPTHS = (3, 6, 12)
@@ -278,8 +278,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("digest", "comp")
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of df."""
+def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, n_shingles, row, comp) for every row of df: rows of equal comp are one group, row names (id, text)."""
     held = cut(sketches(df, width, doc_id, text))
     sets = held.where(F.col("digest").isNotNull())
     nodes = cut(sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("bytes").alias("bytes")))
@@ -293,12 +293,28 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     extra = cut(confirmed(df, more, nodes, width, percent, doc_id, text))
     if not extra.isEmpty():
         labels = components(links.union(extra))
-    named = cut(held.select("doc_id", "n_shingles", "row", "digest").join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest", "row")))
+    named = held.select("doc_id", "n_shingles", "row", "digest").join(labels, "digest", "left")
+    return cut(named.select("doc_id", "n_shingles", "row", F.coalesce("comp", "digest", "row").alias("comp")))
+
+
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of df."""
+    named = grouped(df, width, percent, doc_id, text)
     least = cut(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return named.join(least, "comp", "left").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def keep_one(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one row of each group: the one with the smallest id (rows without an id last)."""
+    named = grouped(df, width, percent, doc_id, text)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stays = cut(named.groupBy("comp").agg(first.alias("f")).select(F.col("f.row").alias(fresh(df, "__stays"))))
+    key = fresh(df, "__row")
+    rows = df.withColumn(key, _row_key(doc_id, text))
+    return rows.join(stays, rows[key] == stays[stays.columns[0]], "left_semi").dropDuplicates([key]).drop(key)
+
+
 def query(spark, sf_dir):
     """op4: four-word shingles of the whole of documents."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, html_text, media, mixing, near_dedup, quality_classifier, quality_rules, secrets, url_filter
+from strata.llm import bpe, hmm, html_text, media, mixing, near_dedup, quality_classifier, quality_rules, secrets, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_flac_media": media.query,
     "op6_secret_scan": secrets.query,
     "op7_byte_bpe": bpe.query,
+    "op8_hmm_score": hmm.query,
     "op9_html_text": html_text.query,
     "op10_source_mixing": mixing.query,
 }
