@@ -125,7 +125,8 @@ def quality_metrics(df: DataFrame, text: str = "text") -> DataFrame:
         per("n_stop_words", "n_words").alias("stop_ratio"),
         per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
     )
-    return out.withColumn("quality", quality).drop("__t", "__w", "__g", "__l", "__c")
+    # Exploding one struct keeps later filters on it above this point; pushed below, each would compute all of it again.
+    return out.withColumn("quality", F.explode(F.array(quality))).drop("__t", "__w", "__g", "__l", "__c")
 
 
 def verdict(rules: Sequence[Rule] = RULES, quality: str = "quality") -> Column:
