@@ -8,8 +8,11 @@ blocks that share a pivot, so no task ever holds an unbounded group.
 Round 1: in a region, neighbours are compared by their one-byte signatures; rows that resemble a
 leader are paired with it, others become leaders.  Pairs are confirmed on the whole texts and
 joined to components.  Round 2: in regions whose rows lie in several components, every pair across
-components that resembles is confirmed too, so what a leader hid is found.  Groups of copies thus
-cost pairs in proportion to their rows, and no partner or candidate is capped.
+components that resembles and can reach the similarity is confirmed too, so what a leader hid is
+found.  A pair's intersection is bounded by the sets' sizes and, in regions of over DENSE rows, by
+the shingles that some other node of a dense region has; a copy edited beyond the similarity has
+too many of its own.  Both bounds are exact.  Groups of copies thus cost pairs about in proportion
+to their rows, and no partner or candidate is capped.
 
 Two sets with similarity 0.8 meet in a region of depth 3 in some tree with probability
 1 - (1 - 0.8**3)**16 = 0.99999, and 64 one-byte minima differ too much with probability 2e-7;
@@ -124,8 +127,14 @@ def sketches(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
     return held.mapInArrow(run, f"doc_id {kind}, row binary, n_shingles bigint, digest binary, minima binary, bytes binary")
 
 
+#: What a row of a region has of its node: size of its set, shingles that some other node may share, component.
+NODE = ("digest", "bytes", "size", "shared", "comp")
+#: Rows of a region from which unique shingles are counted before its second round.
+DENSE = 64
+
+
 def _regions(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: (block, digest, bytes, comp, pivot, pivot_bytes); rows of equal block are compared."""
+    """A row for each node and tree: (block, NODE, pivot, pivot_bytes); rows of equal block are compared."""
     again = F.concat("minima", "minima")
 
     def at(tree: Column, depth: int) -> Column:
@@ -135,52 +144,58 @@ def _regions(nodes: DataFrame) -> DataFrame:
     done, pivots = None, [F.lit(None).cast("binary").alias("pivot"), F.lit(None).cast("binary").alias("pivot_bytes")]
     for i, depth in enumerate(DEPTHS):
         rows = rows.withColumn("block", at(F.col("tree"), depth))
-        sizes = rows.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("digest", "bytes")).alias("p"))
-        large = cut(sizes.where(F.col("n") > REGION))
+        large = cut(rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > REGION))
         if large.isEmpty():
             kept, rows = rows, None
         else:
+            if i == 0:
+                least = beside(rows, large, "block").groupBy("block").agg(F.first("n").alias("n"), F.min(F.struct("digest", "bytes")).alias("p"))
+                large = cut(least)
             marked = beside(rows, large, "block", "left")
             kept, rows = marked.where(F.col("n").isNull()), marked.where(F.col("n").isNotNull())
-        kept = kept.select("block", "digest", "bytes", "comp", *([F.col("pivot"), F.col("pivot_bytes")] if i else pivots))
+        kept = kept.select("block", *NODE, *([F.col("pivot"), F.col("pivot_bytes")] if i else pivots))
         done = kept if done is None else done.unionByName(kept)
         if rows is None:
             return done
         if i == 0:
             rows = rows.withColumn("pivot", F.col("p.digest")).withColumn("pivot_bytes", F.col("p.bytes"))
+            rows = rows.drop("p")
         if i < len(DEPTHS) - 1:
-            rows = rows.drop("n", "p")
+            rows = rows.drop("n")
     block = F.xxhash64("block", F.pmod(F.hash("digest"), F.ceil(F.col("n") / REGION).cast("int")))
-    return done.unionByName(rows.select(block.alias("block"), "digest", "bytes", "comp", "pivot", "pivot_bytes"))
+    return done.unionByName(rows.select(block.alias("block"), *NODE, "pivot", "pivot_bytes"))
 
 
 #: Equal one-byte minima, of HASHES, from which two nodes are candidates.
 ALIKE = 35
 
 
-def _pairs_of_run(sig: np.ndarray, comp: list[bytes | None], second: bool) -> Iterator[tuple[int, int]]:
-    n = len(sig)
+def _pairs_of_run(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, comp: list[bytes], second: bool, percent: int) -> Iterator[tuple[int, int]]:
+    def near(i: int) -> np.ndarray:
+        most = np.minimum(shared, shared[i])  # an intersection's bound
+        return ((sig == sig[i]).sum(1) >= ALIKE) & (100 * most >= percent * (size + size[i] - most))
+
     if second:
-        codes = np.unique(np.array([c or b"" for c in comp], object), return_inverse=True)[1]
+        codes = np.unique(np.array(comp, object), return_inverse=True)[1]
         if codes.max() == 0:
             return
-        for i in np.flatnonzero(codes != np.bincount(codes).argmax()):
-            for j in np.flatnonzero(((sig == sig[i]).sum(1) >= ALIKE) & (codes != codes[i])):
+        alone = 100 * shared < percent * size  # can be linked with nothing
+        for i in np.flatnonzero((codes != np.bincount(codes).argmax()) & ~alone):
+            for j in np.flatnonzero(near(i) & (codes != codes[i])):
                 yield int(i), int(j)
         return
-    free = np.ones(n, bool)
-    for i in range(n):
+    free = np.ones(len(sig), bool)
+    for i in range(len(sig)):
         if free[i]:
-            hit = (sig == sig[i]).sum(1) >= ALIKE
+            hit = near(i)
             hit[i] = False
             free[hit] = False
             for j in np.flatnonzero(hit):
                 yield i, int(j)
 
 
-def candidate_pairs(nodes: DataFrame, second: bool) -> DataFrame:
-    """Distinct (a, b) with a < b of nodes that resemble in some region."""
-    rows = _regions(nodes)
+def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
+    """Distinct (a, b) with a < b of nodes that resemble in some region, given its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b"]
@@ -198,10 +213,12 @@ def candidate_pairs(nodes: DataFrame, second: bool) -> DataFrame:
             several = np.flatnonzero(ends - starts > 1)
             digest, low, out = t["digest"], t["bytes"], []
             sig = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(-1, HASHES)
+            size, shared = t["size"].to_numpy(), t["shared"].to_numpy()
             pairs_only = several[(ends - starts)[several] == 2]
             if len(pairs_only):  # most regions: all at once
                 i = starts[pairs_only]
-                i = i[(sig[i] == sig[i + 1]).sum(1) >= ALIKE]
+                most = np.minimum(shared[i], shared[i + 1])
+                i = i[((sig[i] == sig[i + 1]).sum(1) >= ALIKE) & (100 * most >= percent * (size[i] + size[i + 1] - most))]
                 out += zip(digest.take(pa.array(i)).to_pylist(), digest.take(pa.array(i + 1)).to_pylist(), strict=True)
                 if second:
                     same = [a == b for a, b in zip(t["comp"].take(pa.array(i)).to_pylist(), t["comp"].take(pa.array(i + 1)).to_pylist(), strict=True)]
@@ -210,7 +227,7 @@ def candidate_pairs(nodes: DataFrame, second: bool) -> DataFrame:
                 a, b = starts[k], ends[k]
                 own = digest.slice(a, b - a).to_pylist()
                 comp = t["comp"].slice(a, b - a).to_pylist() if second else []
-                out += [(own[i], own[j]) for i, j in _pairs_of_run(sig[a:b], comp, second)]
+                out += [(own[i], own[j]) for i, j in _pairs_of_run(sig[a:b], size[a:b], shared[a:b], comp, second, percent)]
             if not second and t["pivot"].null_count < len(t):
                 at = np.flatnonzero(t["pivot"].is_valid().to_numpy())
                 p = np.frombuffer(b"".join(t["pivot_bytes"].take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, HASHES)
@@ -232,12 +249,31 @@ def candidate_pairs(nodes: DataFrame, second: bool) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def confirmed(df: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Those of pairs whose whole sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+def texts_of(df: DataFrame, ends: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(digest, text) of a document of each node in ends."""
     rows = cut(nodes.select("digest", "row").join(ends, "digest", "left_semi"))
     held = df.select(_row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
-    texts = cut(beside(held, rows, "row").groupBy("digest").agg(F.min("text").alias("text")))
+    return cut(beside(held, rows, "row").groupBy("digest").agg(F.min("text").alias("text")))
+
+
+def unique_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n): how many of a node's shingles no other node in texts has; node is the digest's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for i in range(0, len(texts), 256):
+                sets = [shingle_set(t, width) for t in texts[i : i + 256]]
+                who = np.repeat(own[i : i + 256], [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(who)], names=["x", "node"])
+
+    spread = texts.select(F.xxhash64("digest").alias("node"), "text").mapInArrow(run, "x bigint, node bigint")
+    once = spread.groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return once.groupBy("node").agg(F.count("*").alias("n"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of pairs whose whole sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,15 +318,28 @@ def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     """(doc_id, n_shingles, row, comp) for every row of df: rows of equal comp are one group, row names (id, text)."""
     held = cut(sketches(df, width, doc_id, text))
     sets = held.where(F.col("digest").isNotNull())
-    nodes = cut(sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("bytes").alias("bytes")))
-    first = cut(candidate_pairs(nodes.withColumn("comp", F.lit(None).cast("binary")), second=False))
-    links = cut(confirmed(df, first, nodes, width, percent, doc_id, text))
+    nodes = cut(
+        sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("bytes").alias("bytes"), F.min("n_shingles").alias("size"))
+    )
+    every = nodes.select("digest", "minima", "bytes", "size", F.col("size").alias("shared"), F.lit(None).cast("binary").alias("comp"))
+    first = cut(candidate_pairs(_regions(every), False, percent))
+    ends = cut(first.select(F.col("a").alias("digest")).union(first.select(F.col("b").alias("digest"))).distinct())
+    texts = texts_of(df, ends, nodes, doc_id, text)
+    links = cut(confirmed(first, texts, width, percent))
     labels = components(links)
     # Only nodes that resembled some leader can have been hidden from each other by it.
-    ends = cut(first.select(F.col("a").alias("digest")).union(first.select(F.col("b").alias("digest"))).distinct())
-    again = nodes.join(ends, "digest", "left_semi").join(labels, "digest", "left")
-    more = cut(candidate_pairs(cut(again.withColumn("comp", F.coalesce("comp", "digest"))), second=True).join(first, ["a", "b"], "left_anti"))
-    extra = cut(confirmed(df, more, nodes, width, percent, doc_id, text))
+    again = nodes.join(ends, "digest", "left_semi").join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    rows = _regions(cut(again.select("digest", "minima", "bytes", "size", F.col("size").alias("shared"), "comp")))
+    mixed = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = cut(rows.join(cut(mixed.select("block", "n")), "block"))
+    # In dense regions a node's own shingles, which no partner shares, bound its intersections.
+    dense = cut(rows.where(F.col("n") > DENSE).select("digest").distinct())
+    alone = cut(unique_shingles(texts.join(dense, "digest", "left_semi"), width).select("node", F.col("n").alias("own")))
+    light, heavy = rows.where(F.col("n") <= DENSE), rows.where(F.col("n") > DENSE).withColumn("node", F.xxhash64("digest"))
+    heavy = beside(heavy, alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+    bounded = light.drop("n").unionByName(heavy.drop("n", "node", "own"))
+    more = cut(candidate_pairs(bounded, True, percent).join(first, ["a", "b"], "left_anti"))
+    extra = cut(confirmed(more, texts, width, percent))
     if not extra.isEmpty():
         labels = components(links.union(extra))
     named = held.select("doc_id", "n_shingles", "row", "digest").join(labels, "digest", "left")
