@@ -29,7 +29,7 @@ from strata.llm.common import table
 
 BLOCK, PARTITION, RATE, UNIT = 1024, 256, 8000, 64
 #: Frames coded side by side.
-GROUP = 4096
+GROUP = 2048
 _FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 _PRECISION, _SHIFT = 9, 7
 
@@ -441,7 +441,7 @@ def _payload(text: str | None) -> bytes:
     return data + bytes(max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
 
-def _groups(values: list, size=len, most: int = 4 << 20) -> Iterator[list]:
+def _groups(values: list, size=len, most: int = 2 << 20) -> Iterator[list]:
     held, n = [], 0
     for v in values:
         held.append(v)
@@ -453,6 +453,13 @@ def _groups(values: list, size=len, most: int = 4 << 20) -> Iterator[list]:
         yield held
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what is made of one stays small."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -462,7 +469,7 @@ def to_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             payloads = [_payload(t) for t in b.column(at).to_pylist()]
             media = [m for g in _groups(payloads) for m in encode_many(g)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(media, pa.binary())], names=[*b.schema.names, out])
@@ -475,7 +482,7 @@ def from_media(df: DataFrame, media: str = "media", out: str = "payload") -> Dat
     at = df.columns.index(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             streams = b.column(at).to_pylist()
             found = iter([p for g in _groups([s for s in streams if s is not None]) for p in decode_many(g)])
             plain = [None if s is None else next(found) for s in streams]
@@ -507,7 +514,7 @@ def digests(df: DataFrame, text: str = "text", media: str = "media") -> DataFram
     fields = [("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             streams = b.column(k).to_pylist()
             plain = [p for g in _groups(streams) for p in decode_many(g)]
             cols = [
