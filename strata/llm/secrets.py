@@ -231,7 +231,7 @@ def listed(spans: Column) -> Column:
 
 
 def masked(df: DataFrame, text: str = "text", secrets: str = "secrets", mask: str = "[secret]") -> DataFrame:
-    """df with every character of a span taken out of text and mask in place of each run of such characters."""
+    """df with every character of a span taken out of text and mask in place of each run of such characters; null stays null."""
     t = F.col(f"`{text}`")
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
 
