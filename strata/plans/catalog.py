@@ -166,8 +166,8 @@ def merge_keep_tombstones(spark, d):
 
 
 @query(
-    f"WITH {EV}, s AS (SELECT unnest([1000, 5000, 9000]) AS at), x AS (SELECT s.at, ev.*, row_number() OVER (PARTITION BY s.at, key ORDER BY seq DESC) AS rn "
-    "FROM ev JOIN s ON ev.seq <= s.at) SELECT CAST(at AS INTEGER) AS at_seq, key, seq FROM x WHERE rn = 1 AND NOT deleted"
+    f"WITH {EV}, s AS (SELECT unnest([1000, 5000, 9000]) AS at_seq), x AS (SELECT at_seq, ev.*, row_number() OVER (PARTITION BY at_seq, key ORDER BY seq DESC) AS rn "
+    "FROM ev JOIN s ON ev.seq <= at_seq) SELECT CAST(at_seq AS INTEGER) AS at_seq, key, seq FROM x WHERE rn = 1 AND NOT deleted"
 )
 def snapshot_at_seq(spark, d):
     log, out = events_log(spark, d).drop("shard", "value"), None
