@@ -5,8 +5,8 @@ gives it a key; nodes whose keys share a prefix form a region.  A region of more
 is divided by a longer prefix (DEPTHS), and only if it is still larger at the last one dealt into
 blocks that share a pivot, so no task ever holds an unbounded group.
 
-Round 1: in a region, neighbours are compared by their one-byte signatures; rows that resemble a
-leader are paired with it, others become leaders.  Pairs are confirmed on the whole texts and
+Round 1: in a region, neighbours are compared by their one-byte signatures; a row that resembles a
+leader is paired with the first such one, others become leaders, those near the region's consensus first.  Pairs are confirmed on the whole texts and
 joined to components.  Round 2: in regions whose rows lie in several components, every pair across
 components that resembles and can reach the similarity is confirmed too, so what a leader hid is
 found.  A pair's intersection is bounded by the sets' sizes and, in regions of over DENSE rows, by
@@ -130,7 +130,7 @@ def sketches(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
 #: What a row of a region has of its node: size of its set, shingles that some other node may share, component.
 NODE = ("digest", "bytes", "size", "shared", "comp")
 #: Rows of a region from which unique shingles are counted before its second round.
-DENSE = 64
+DENSE = 16
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
@@ -184,14 +184,16 @@ def _pairs_of_run(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, comp: l
             for j in np.flatnonzero(near(i) & (codes != codes[i])):
                 yield int(i), int(j)
         return
+    # Rows next to the region's consensus lead first, so that most of a group of copies joins one near its origin.
+    common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
     free = np.ones(len(sig), bool)
-    for i in range(len(sig)):
+    for i in np.argsort(-(sig == common).sum(1), kind="stable"):
         if free[i]:
-            hit = near(i)
-            hit[i] = False
+            free[i] = False
+            hit = near(i) & free
             free[hit] = False
             for j in np.flatnonzero(hit):
-                yield i, int(j)
+                yield int(i), int(j)
 
 
 def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
@@ -302,13 +304,13 @@ def components(links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of a component's width.  Joins are plain ones on keys, which
     adaptive execution splits where a node or label is hot.
     """
-    both = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("m")).select("digest", F.least("digest", "m").alias("comp")))
     while True:
-        near = both.join(labels.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("comp").alias("m"))
+        near = beside(both, labels.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("comp").alias("m"))
         spread = cut(labels.join(near, "digest").select("digest", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")))
         jump = spread.select(F.col("digest").alias("comp"), F.col("comp").alias("next"))
-        new = cut(spread.join(jump, "comp").select("digest", F.least("comp", "next").alias("comp"), "was"))
+        new = cut(beside(spread, jump, "comp").select("digest", F.least("comp", "next").alias("comp"), "was"))
         if new.where(F.col("comp") != F.col("was")).isEmpty():
             return new.select("digest", "comp")
         labels = new.select("digest", "comp")
@@ -328,13 +330,13 @@ def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     links = cut(confirmed(first, texts, width, percent))
     labels = components(links)
     # Only nodes that resembled some leader can have been hidden from each other by it.
-    again = nodes.join(ends, "digest", "left_semi").join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    again = beside(beside(nodes, ends, "digest", "left_semi"), labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     rows = _regions(cut(again.select("digest", "minima", "bytes", "size", F.col("size").alias("shared"), "comp")))
     mixed = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = cut(rows.join(cut(mixed.select("block", "n")), "block"))
+    rows = cut(beside(rows, cut(mixed.select("block", "n")), "block"))
     # In dense regions a node's own shingles, which no partner shares, bound its intersections.
     dense = cut(rows.where(F.col("n") > DENSE).select("digest").distinct())
-    alone = cut(unique_shingles(texts.join(dense, "digest", "left_semi"), width).select("node", F.col("n").alias("own")))
+    alone = cut(unique_shingles(beside(texts, dense, "digest", "left_semi"), width).select("node", F.col("n").alias("own")))
     light, heavy = rows.where(F.col("n") <= DENSE), rows.where(F.col("n") > DENSE).withColumn("node", F.xxhash64("digest"))
     heavy = beside(heavy, alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
     bounded = light.drop("n").unionByName(heavy.drop("n", "node", "own"))
@@ -342,7 +344,7 @@ def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     extra = cut(confirmed(more, texts, width, percent))
     if not extra.isEmpty():
         labels = components(links.union(extra))
-    named = held.select("doc_id", "n_shingles", "row", "digest").join(labels, "digest", "left")
+    named = beside(held.select("doc_id", "n_shingles", "row", "digest"), labels, "digest", "left")
     return cut(named.select("doc_id", "n_shingles", "row", F.coalesce("comp", "digest", "row").alias("comp")))
 
 
