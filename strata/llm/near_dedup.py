@@ -15,7 +15,7 @@ too many of its own.  Both bounds are exact.  Groups of copies thus cost pairs a
 to their rows, and no partner or candidate is capped.
 
 Two sets with similarity 0.8 meet in a region of depth 3 in some tree with probability
-1 - (1 - 0.8**3)**16 = 0.99999, and 64 one-byte minima differ too much with probability 2e-7;
+1 - (1 - 0.8**3)**16 = 0.99999, 64 one-byte minima differ too much with probability 2e-7 (round 1), 256 with 3e-6 (round 2);
 in regions over REGION rows (depth 6 and 12), links are found by pivots and leaders first, and a
 pair that no other link joins with probability 0.99 at depth 6.
 
@@ -38,13 +38,15 @@ from pyspark.sql import functions as F
 from strata.llm.common import beside, cut, fresh, table
 
 TREES, HASHES = 16, 64
+#: Further minima, of which the second round has a byte each.
+MORE = 192
 DEPTHS = (3, 6, 12)
 #: Rows compared with each other in one task, at most; larger regions are divided.
 REGION = 4096
 
 _rng = np.random.default_rng(7)
-_A = (_rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = (_rng.integers(1, 1 << 63, HASHES + MORE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_B = _rng.integers(0, 1 << 63, HASHES + MORE, dtype=np.uint64)
 _P = (_rng.integers(1, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -84,10 +86,10 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """len(sets) x HASHES minima (uint32); none of the sets empty."""
+    """len(sets) x (HASHES + MORE) minima (uint32); none of the sets empty."""
     x, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), HASHES), np.uint32)
-    for k in range(HASHES):
+    out = np.empty((len(sets), HASHES + MORE), np.uint32)
+    for k in range(HASHES + MORE):
         out[:, k] = np.minimum.reduceat(((x * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), starts)
     return out
 
@@ -111,7 +113,7 @@ def sketches(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
                     if len(s):
                         own = next(sig)
                         digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        minima.append(own.astype(">u4").tobytes())
+                        minima.append(own[:HASHES].astype(">u4").tobytes())
                         low.append((own & np.uint32(255)).astype(np.uint8).tobytes())
                     else:
                         digest.append(None)
@@ -166,14 +168,14 @@ def _regions(nodes: DataFrame) -> DataFrame:
     return done.unionByName(rows.select(block.alias("block"), *NODE, "pivot", "pivot_bytes"))
 
 
-#: Equal one-byte minima, of HASHES, from which two nodes are candidates.
-ALIKE = 35
+#: Equal one-byte minima from which two nodes are candidates: of HASHES, and of HASHES + MORE in the second round.
+ALIKE, ALIKE_MORE = 35, 176
 
 
 def _pairs_of_run(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, comp: list[bytes], second: bool, percent: int) -> Iterator[tuple[int, int]]:
     def near(i: int) -> np.ndarray:
         most = np.minimum(shared, shared[i])  # an intersection's bound
-        return ((sig == sig[i]).sum(1) >= ALIKE) & (100 * most >= percent * (size + size[i] - most))
+        return ((sig == sig[i]).sum(1) >= (ALIKE_MORE if second else ALIKE)) & (100 * most >= percent * (size + size[i] - most))
 
     if second:
         codes = np.unique(np.array(comp, object), return_inverse=True)[1]
@@ -200,7 +202,7 @@ def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
     """Distinct (a, b) with a < b of nodes that resemble in some region, given its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b"]
+        names, width, alike = ["a", "b"], HASHES + MORE * second, ALIKE_MORE if second else ALIKE
 
         def made(pairs):
             ends = [(min(p), max(p)) for p in set(pairs)]
@@ -214,13 +216,13 @@ def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
             starts, ends = np.r_[0, edges], np.r_[edges, len(block)]
             several = np.flatnonzero(ends - starts > 1)
             digest, low, out = t["digest"], t["bytes"], []
-            sig = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(-1, width)
             size, shared = t["size"].to_numpy(), t["shared"].to_numpy()
             pairs_only = several[(ends - starts)[several] == 2]
             if len(pairs_only):  # most regions: all at once
                 i = starts[pairs_only]
                 most = np.minimum(shared[i], shared[i + 1])
-                i = i[((sig[i] == sig[i + 1]).sum(1) >= ALIKE) & (100 * most >= percent * (size[i] + size[i + 1] - most))]
+                i = i[((sig[i] == sig[i + 1]).sum(1) >= alike) & (100 * most >= percent * (size[i] + size[i + 1] - most))]
                 out += zip(digest.take(pa.array(i)).to_pylist(), digest.take(pa.array(i + 1)).to_pylist(), strict=True)
                 if second:
                     same = [a == b for a, b in zip(t["comp"].take(pa.array(i)).to_pylist(), t["comp"].take(pa.array(i + 1)).to_pylist(), strict=True)]
@@ -321,9 +323,9 @@ def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     held = cut(sketches(df, width, doc_id, text))
     sets = held.where(F.col("digest").isNotNull())
     nodes = cut(
-        sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("bytes").alias("bytes"), F.min("n_shingles").alias("size"))
+        sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("bytes").alias("all_bytes"), F.min("n_shingles").alias("size"))
     )
-    every = nodes.select("digest", "minima", "bytes", "size", F.col("size").alias("shared"), F.lit(None).cast("binary").alias("comp"))
+    every = nodes.select("digest", "minima", F.substring("all_bytes", 1, HASHES).alias("bytes"), "size", F.col("size").alias("shared"), F.lit(None).cast("binary").alias("comp"))
     first = cut(candidate_pairs(_regions(every), False, percent))
     ends = cut(first.select(F.col("a").alias("digest")).union(first.select(F.col("b").alias("digest"))).distinct())
     texts = texts_of(df, ends, nodes, doc_id, text)
@@ -331,7 +333,7 @@ def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     labels = components(links)
     # Only nodes that resembled some leader can have been hidden from each other by it.
     again = beside(beside(nodes, ends, "digest", "left_semi"), labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    rows = _regions(cut(again.select("digest", "minima", "bytes", "size", F.col("size").alias("shared"), "comp")))
+    rows = _regions(cut(again.select("digest", "minima", F.col("all_bytes").alias("bytes"), "size", F.col("size").alias("shared"), "comp")))
     mixed = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     rows = cut(beside(rows, cut(mixed.select("block", "n")), "block"))
     # In dense regions a node's own shingles, which no partner shares, bound its intersections.
