@@ -54,7 +54,7 @@ class _Words(dict):
     """word (UTF-8) -> 64-bit hash; starts again when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -104,8 +104,8 @@ def sketches(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, digest, minima, low = b.column(2).to_pylist(), [], [], [], []
-            for i in range(0, len(texts), 256):
-                sets = [shingle_set(t, width) for t in texts[i : i + 256]]
+            for i in range(0, len(texts), 64):
+                sets = [shingle_set(t, width) for t in texts[i : i + 64]]
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full) if full else ())
                 for s in sets:
@@ -266,9 +266,9 @@ def unique_shingles(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                sets = [shingle_set(t, width) for t in texts[i : i + 256]]
-                who = np.repeat(own[i : i + 256], [len(x) for x in sets])
+            for i in range(0, len(texts), 64):
+                sets = [shingle_set(t, width) for t in texts[i : i + 64]]
+                who = np.repeat(own[i : i + 64], [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(who)], names=["x", "node"])
 
     spread = texts.select(F.xxhash64("digest").alias("node"), "text").mapInArrow(run, "x bigint, node bigint")
@@ -280,19 +280,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """Those of pairs whose whole sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[bytes, np.ndarray] = {}
-            keep = []
-            for da, ta, db, tb in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if da not in seen and len(seen) > 500:
-                    seen.clear()
-                x = seen.get(da)
-                if x is None:
-                    x = seen[da] = shingle_set(ta, width)
-                y = shingle_set(tb, width)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        seen: dict[bytes, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, len(whole), 64):  # texts may be long: few are held as Python values at a time
+                b = whole.slice(at, 64)
+                keep = []
+                for da, ta, tb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    x = seen.get(da)
+                    if x is None:
+                        if len(seen) >= 64:
+                            seen.clear()
+                        x = seen[da] = shingle_set(ta, width)
+                    y = shingle_set(tb, width)
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
