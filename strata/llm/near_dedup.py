@@ -1,23 +1,24 @@
 """Near-duplicate groups from a MinHash LSH forest, confirmed on whole shingle sets.
 
 Documents with equal shingle sets are one node.  Each of TREES sorted orders of a node's minima
-gives it a key; nodes whose keys share a prefix form a region.  A region of more than REGION rows
-is divided by a longer prefix (DEPTHS), and only if it is still larger at the last one dealt into
-blocks that share a pivot, so no task ever holds an unbounded group.
+gives it a key; nodes whose keys share a prefix of DEPTH minima form a region.  No region is divided
+by a longer prefix: one of more than REGION rows is dealt into parts, and no task holds more than two.
 
 Round 1: in a region, neighbours are compared by their one-byte signatures; a row that resembles a
-leader is paired with the first such one, others become leaders, those near the region's consensus first.  Pairs are confirmed on the whole texts and
+leader is paired with the first such one, others become leaders, those near the region's consensus
+first.  The parts of a large region share its best leaders.  Pairs are confirmed on the whole texts and
 joined to components.  Round 2: in regions whose rows lie in several components, every pair across
 components that resembles and can reach the similarity is confirmed too, so what a leader hid is
-found.  A pair's intersection is bounded by the sets' sizes and, in regions of over DENSE rows, by
+found; in a large region each part of the rows outside its largest component meets each part of all
+rows.  A pair's intersection is bounded by the sets' sizes and, in regions of over DENSE rows, by
 the shingles that some other node of a dense region has; a copy edited beyond the similarity has
 too many of its own.  Both bounds are exact.  Groups of copies thus cost pairs about in proportion
-to their rows, and no partner or candidate is capped.
+to their rows, and no partner or candidate is capped; rows that a large region leaves outside its
+largest component cost blocks with the product of both counts.
 
-Two sets with similarity 0.8 meet in a region of depth 3 in some tree with probability
-1 - (1 - 0.8**3)**16 = 0.99999, 64 one-byte minima differ too much with probability 2e-7 (round 1), 256 with 3e-6 (round 2);
-in regions over REGION rows (depth 6 and 12), links are found by pivots and leaders first, and a
-pair that no other link joins with probability 0.99 at depth 6.
+Two sets with similarity 0.8 meet in a region in some tree with probability
+1 - (1 - 0.8**3)**16 = 0.99999, 64 one-byte minima differ too much with probability 2e-7 (round 1), 256 with 3e-6 (round 2),
+whatever the region's size.
 
 Defined results: null or blank texts have no shingles and stand alone; a text of fewer words than
 a shingle is one shingle; ``component_id`` is the smallest id of the component, null if none has
@@ -40,8 +41,9 @@ from strata.llm.common import beside, cut, fresh, table
 TREES, HASHES = 16, 64
 #: Further minima, of which the second round has a byte each.
 MORE = 192
-DEPTHS = (3, 6, 12)
-#: Rows compared with each other in one task, at most; larger regions are divided.
+#: Minima of a region's prefix.
+DEPTH = 3
+#: Rows of a region held in one task, about; a larger one is dealt to several, every pair of whose parts meets.
 REGION = 4096
 
 _rng = np.random.default_rng(7)
@@ -133,83 +135,153 @@ def sketches(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
 NODE = ("digest", "bytes", "size", "shared", "comp")
 #: Rows of a region from which unique shingles are counted before its second round.
 DENSE = 16
+#: Leaders that the parts of a large region share in the first round.
+PIVOTS = 16
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(block, digest, n): every node and tree whose region, named by block, has n > 1 nodes."""
+    tree = F.col("tree")
+    prefix = F.concat("minima", "minima").substr(tree * (4 * HASHES // TREES) + 1, F.lit(4 * DEPTH))
+    rows = nodes.select("digest", "minima", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    keys = rows.select(F.xxhash64("tree", prefix).alias("block"), "digest")
+    several = keys.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return cut(keys.join(several, "block"))
+
+
+def _of(digest: Column, n: Column) -> Column:
+    """Which of the parts of about REGION rows that n rows are dealt into."""
+    return F.pmod(F.xxhash64(digest), F.ceil(n / REGION)).cast("int")
+
+
+def _first_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Blocks of the first round, of rows (block, n, NODE): parts of a large region get its best leaders too."""
+    small = rows.where(F.col("n") <= REGION).select("block", *NODE, F.lit(0).alias("role"))
+    large = rows.where(F.col("n") > REGION)
+    if large.isEmpty():
+        return small
+    parts = large.withColumn("part", _of(F.col("digest"), F.col("n"))).withColumn("region", F.col("block"))
+    parts = cut(parts.select(F.xxhash64("region", "part").alias("block"), "region", *NODE))
+    best = leaders(leaders(parts, percent).withColumn("block", F.col("region")), percent).select("region", *NODE)
+    blocks = cut(parts.select("region", "block").distinct())
+    return small.unionByName(parts.select("block", *NODE, F.lit(0).alias("role"))).unionByName(
+        blocks.join(best, "region").select("block", *NODE, F.lit(1).alias("role"))
+    )
+
+
+def _second_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Blocks of the second round, of rows (block, n, NODE).
+
+    A large region's nodes outside its largest component probe all of its nodes: each part of the
+    probes meets each part of the nodes in a block of its own, so that every pair across components meets.
+    """
+    small = rows.where(F.col("n") <= REGION).select("block", *NODE, F.lit(0).alias("role"))
+    large = rows.where((F.col("n") > REGION) & (100 * F.col("shared") >= percent * F.col("size")))  # others link with nothing
+    if large.isEmpty():
+        return small
+    large = cut(large)
+    sizes = large.groupBy("block", "comp").agg(F.count("*").alias("own")).groupBy("block")
+    sizes = sizes.agg(F.max(F.struct("own", "comp")).alias("top"), F.sum("own").alias("all")).withColumn("others", F.col("all") - F.col("top.own"))
+    large = beside(large, cut(sizes.where("others > 0").select("block", F.col("top.comp").alias("main"), "all", "others")), "block")
 
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / REGION).cast("int") - 1))
 
-def _regions(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: (block, NODE, pivot, pivot_bytes); rows of equal block are compared."""
-    again = F.concat("minima", "minima")
-
-    def at(tree: Column, depth: int) -> Column:
-        return F.xxhash64(tree, F.lit(depth), again.substr(tree * (4 * HASHES // TREES) + 1, F.lit(4 * depth)))
-
-    rows = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    done, pivots = None, [F.lit(None).cast("binary").alias("pivot"), F.lit(None).cast("binary").alias("pivot_bytes")]
-    for i, depth in enumerate(DEPTHS):
-        rows = rows.withColumn("block", at(F.col("tree"), depth))
-        large = cut(rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > REGION))
-        if large.isEmpty():
-            kept, rows = rows, None
-        else:
-            if i == 0:
-                least = beside(rows, large, "block").groupBy("block").agg(F.first("n").alias("n"), F.min(F.struct("digest", "bytes")).alias("p"))
-                large = cut(least)
-            marked = beside(rows, large, "block", "left")
-            kept, rows = marked.where(F.col("n").isNull()), marked.where(F.col("n").isNotNull())
-        kept = kept.select("block", *NODE, *([F.col("pivot"), F.col("pivot_bytes")] if i else pivots))
-        done = kept if done is None else done.unionByName(kept)
-        if rows is None:
-            return done
-        if i == 0:
-            rows = rows.withColumn("pivot", F.col("p.digest")).withColumn("pivot_bytes", F.col("p.bytes"))
-            rows = rows.drop("p")
-        if i < len(DEPTHS) - 1:
-            rows = rows.drop("n")
-    block = F.xxhash64("block", F.pmod(F.hash("digest"), F.ceil(F.col("n") / REGION).cast("int")))
-    return done.unionByName(rows.select(block.alias("block"), *NODE, "pivot", "pivot_bytes"))
+    held = large.withColumn("a", _of(F.col("digest"), F.col("all"))).withColumn("b", each("others")).withColumn("role", F.lit(0))
+    probes = large.where(F.col("comp") != F.col("main")).withColumn("a", each("all")).withColumn("b", _of(F.col("digest"), F.col("others")))
+    both = held.unionByName(probes.withColumn("role", F.lit(1)))
+    return small.unionByName(both.select(F.xxhash64("block", "a", "b").alias("block"), *NODE, "role"))
 
 
 #: Equal one-byte minima from which two nodes are candidates: of HASHES, and of HASHES + MORE in the second round.
 ALIKE, ALIKE_MORE = 35, 176
 
 
-def _pairs_of_run(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, comp: list[bytes], second: bool, percent: int) -> Iterator[tuple[int, int]]:
+def _led(near, sig: np.ndarray, role: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaders and the rows that each takes.
+
+    Rows of role 1 lead first, then those next to the region's consensus, so that most of a group of
+    copies joins one near its origin.
+    """
+    common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
+    free = np.ones(len(sig), bool)
+    for i in np.lexsort((-(sig == common).sum(1), -role)):
+        if free[i]:
+            free[i] = False
+            hit = near(i) & free
+            free[hit] = False
+            yield int(i), np.flatnonzero(hit)
+
+
+def _near(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, alike: int, percent: int):
     def near(i: int) -> np.ndarray:
         most = np.minimum(shared, shared[i])  # an intersection's bound
-        return ((sig == sig[i]).sum(1) >= (ALIKE_MORE if second else ALIKE)) & (100 * most >= percent * (size + size[i] - most))
+        return ((sig == sig[i]).sum(1) >= alike) & (100 * most >= percent * (size + size[i] - most))
+
+    return near
 
+
+def _pairs_of_run(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, role: np.ndarray, comp: list[bytes], second: bool, percent: int) -> Iterator[tuple[int, int]]:
+    near = _near(sig, size, shared, ALIKE_MORE if second else ALIKE, percent)
     if second:
         codes = np.unique(np.array(comp, object), return_inverse=True)[1]
         if codes.max() == 0:
             return
         alone = 100 * shared < percent * size  # can be linked with nothing
-        for i in np.flatnonzero((codes != np.bincount(codes).argmax()) & ~alone):
-            for j in np.flatnonzero(near(i) & (codes != codes[i])):
+        probes, held = (role == 1, role == 0) if role.any() else (codes != np.bincount(codes).argmax(), True)
+        for i in np.flatnonzero(probes & ~alone):
+            for j in np.flatnonzero(near(i) & (codes != codes[i]) & held):
                 yield int(i), int(j)
         return
-    # Rows next to the region's consensus lead first, so that most of a group of copies joins one near its origin.
-    common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
-    free = np.ones(len(sig), bool)
-    for i in np.argsort(-(sig == common).sum(1), kind="stable"):
-        if free[i]:
-            free[i] = False
-            hit = near(i) & free
-            free[hit] = False
-            for j in np.flatnonzero(hit):
-                yield int(i), int(j)
+    for i, hit in _led(near, sig, role):
+        for j in hit:
+            yield i, int(j)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole blocks, of batches sorted by block."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        t = pa.Table.from_batches(held)
+        block = t["block"].to_numpy()
+        last = int(np.searchsorted(block, block[-1])) if len(block) else 0
+        if last:
+            yield t.slice(0, last).combine_chunks()
+            held = t.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def leaders(rows: DataFrame, percent: int) -> DataFrame:
+    """(region, NODE) of the PIVOTS rows of each block that take the most others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_blocks(batches):
+            block = t["block"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            sig = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8).reshape(-1, HASHES)
+            size, best = t["size"].to_numpy(), []
+            for a, b in zip(edges, edges[1:], strict=False):
+                own, n = sig[a:b], size[a:b]
+                led = [(-len(hit), i) for i, hit in _led(_near(own, n, n, ALIKE, percent), own, np.zeros(b - a, int))]
+                best += [a + i for _, i in sorted(led)[:PIVOTS]]
+            yield from t.select(["region", *NODE]).take(pa.array(best, pa.int64())).to_batches()
+
+    held = rows.select("block", "region", *NODE).repartition("block").sortWithinPartitions("block")
+    return cut(held.mapInArrow(run, "region bigint, digest binary, bytes binary, size bigint, shared bigint, comp binary"))
 
 
 def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
-    """Distinct (a, b) with a < b of nodes that resemble in some region, given its rows."""
+    """Distinct (a, b) with a < b of nodes that resemble in some block, given its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, width, alike = ["a", "b"], HASHES + MORE * second, ALIKE_MORE if second else ALIKE
 
         def made(pairs):
-            ends = [(min(p), max(p)) for p in set(pairs)]
+            ends = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in ends], pa.binary()) for k in (0, 1)], names=names)
 
-        held: list[pa.RecordBatch] = []
-
         def closed(t: pa.Table):
             block = t["block"].to_numpy()
             edges = np.flatnonzero(np.diff(block)) + 1
@@ -217,7 +289,7 @@ def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
             several = np.flatnonzero(ends - starts > 1)
             digest, low, out = t["digest"], t["bytes"], []
             sig = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(-1, width)
-            size, shared = t["size"].to_numpy(), t["shared"].to_numpy()
+            size, shared, role = t["size"].to_numpy(), t["shared"].to_numpy(), t["role"].to_numpy()
             pairs_only = several[(ends - starts)[several] == 2]
             if len(pairs_only):  # most regions: all at once
                 i = starts[pairs_only]
@@ -231,24 +303,11 @@ def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
                 a, b = starts[k], ends[k]
                 own = digest.slice(a, b - a).to_pylist()
                 comp = t["comp"].slice(a, b - a).to_pylist() if second else []
-                out += [(own[i], own[j]) for i, j in _pairs_of_run(sig[a:b], size[a:b], shared[a:b], comp, second, percent)]
-            if not second and t["pivot"].null_count < len(t):
-                at = np.flatnonzero(t["pivot"].is_valid().to_numpy())
-                p = np.frombuffer(b"".join(t["pivot_bytes"].take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, HASHES)
-                at = at[(p == sig[at]).sum(1) >= ALIKE]
-                out += [x for x in zip(digest.take(pa.array(at)).to_pylist(), t["pivot"].take(pa.array(at)).to_pylist(), strict=True) if x[0] != x[1]]
+                out += [(own[i], own[j]) for i, j in _pairs_of_run(sig[a:b], size[a:b], shared[a:b], role[a:b], comp, second, percent)]
             return made(out)
 
-        for b in batches:
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            block = t["block"].to_numpy()
-            last = int(np.searchsorted(block, block[-1])) if len(block) else 0
-            if last:
-                yield closed(t.slice(0, last).combine_chunks())
-                held = t.slice(last).combine_chunks().to_batches()
-        if held:
-            yield closed(pa.Table.from_batches(held).combine_chunks())
+        for t in _whole_blocks(batches):
+            yield closed(t)
 
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary").distinct()
 
@@ -327,23 +386,25 @@ def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     nodes = cut(
         sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("bytes").alias("all_bytes"), F.min("n_shingles").alias("size"))
     )
-    every = nodes.select("digest", "minima", F.substring("all_bytes", 1, HASHES).alias("bytes"), "size", F.col("size").alias("shared"), F.lit(None).cast("binary").alias("comp"))
-    first = cut(candidate_pairs(_regions(every), False, percent))
+    members = _members(nodes)
+    every = nodes.select("digest", F.substring("all_bytes", 1, HASHES).alias("bytes"), "size", F.col("size").alias("shared"), F.lit(None).cast("binary").alias("comp"))
+    first = cut(candidate_pairs(_first_rows(members.join(every, "digest"), percent), False, percent))
     ends = cut(first.select(F.col("a").alias("digest")).union(first.select(F.col("b").alias("digest"))).distinct())
     texts = texts_of(df, ends, nodes, doc_id, text)
     links = cut(confirmed(first, texts, width, percent))
     labels = components(links)
     # Only nodes that resembled some leader can have been hidden from each other by it.
-    again = beside(beside(nodes, ends, "digest", "left_semi"), labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    rows = _regions(cut(again.select("digest", "minima", F.col("all_bytes").alias("bytes"), "size", F.col("size").alias("shared"), "comp")))
-    mixed = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = cut(beside(rows, cut(mixed.select("block", "n")), "block"))
+    again = beside(beside(members.drop("n"), ends, "digest", "left_semi"), labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    again = cut(again)
+    mixed = again.groupBy("block").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    again = beside(again, cut(mixed.select("block", "n")), "block")
+    rows = cut(again.join(nodes.select("digest", F.col("all_bytes").alias("bytes"), "size", F.col("size").alias("shared")), "digest"))
     # In dense regions a node's own shingles, which no partner shares, bound its intersections.
     dense = cut(rows.where(F.col("n") > DENSE).select("digest").distinct())
     alone = cut(unique_shingles(beside(texts, dense, "digest", "left_semi"), width).select("node", F.col("n").alias("own")))
     light, heavy = rows.where(F.col("n") <= DENSE), rows.where(F.col("n") > DENSE).withColumn("node", F.xxhash64("digest"))
     heavy = beside(heavy, alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
-    bounded = light.drop("n").unionByName(heavy.drop("n", "node", "own"))
+    bounded = _second_rows(light.unionByName(heavy.drop("node", "own")), percent)
     more = cut(candidate_pairs(bounded, True, percent).join(first, ["a", "b"], "left_anti"))
     extra = cut(confirmed(more, texts, width, percent))
     if not extra.isEmpty():

@@ -78,6 +78,26 @@ def test_dense_and_divided_regions(spark, monkeypatch):
     assert sum(got[d] != want[d] for d in want) <= 5  # divided regions find links with high probability
 
 
+def test_large_regions_stay_whole(spark, monkeypatch):
+    """Copies near their origin alone, in regions of several times REGION rows: every link is found."""
+    rng = random.Random(9)
+    docs = []
+    base = [f"b{i}" for i in range(400)]
+    docs.append(" ".join(base))
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(0, 400, 4), 9):
+            own[at] = f"x{i}.{at}"
+        docs.append(" ".join(own))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    monkeypatch.setattr(near_dedup, "REGION", 32)
+    _, groups = brute(docs, 4, 80)
+    want = {m: min(g) for g in groups.values() for m in g}
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_rows_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s t u v"), (None, None)], "doc_id bigint, text string")
     got = sorted((r.component_id is None, r.kept, r.doc_id) if r.doc_id is not None else (r.component_id is None, r.kept, -1) for r in near_dedup.near_duplicates(df).collect())
