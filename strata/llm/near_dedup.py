@@ -389,13 +389,11 @@ def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) ->
     members = _members(nodes)
     every = nodes.select("digest", F.substring("all_bytes", 1, HASHES).alias("bytes"), "size", F.col("size").alias("shared"), F.lit(None).cast("binary").alias("comp"))
     first = cut(candidate_pairs(_first_rows(members.join(every, "digest"), percent), False, percent))
-    ends = cut(first.select(F.col("a").alias("digest")).union(first.select(F.col("b").alias("digest"))).distinct())
-    texts = texts_of(df, ends, nodes, doc_id, text)
+    texts = texts_of(df, cut(members.select("digest").distinct()), nodes, doc_id, text)
     links = cut(confirmed(first, texts, width, percent))
     labels = components(links)
-    # Only nodes that resembled some leader can have been hidden from each other by it.
-    again = beside(beside(members.drop("n"), ends, "digest", "left_semi"), labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    again = cut(again)
+    # All nodes of a region take part: one that no leader resembled may still resemble a row that a leader took.
+    again = cut(beside(members.drop("n"), labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
     mixed = again.groupBy("block").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     again = beside(again, cut(mixed.select("block", "n")), "block")
     rows = cut(again.join(nodes.select("digest", F.col("all_bytes").alias("bytes"), "size", F.col("size").alias("shared")), "digest"))

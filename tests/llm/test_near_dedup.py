@@ -98,6 +98,23 @@ def test_large_regions_stay_whole(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_nodes_without_a_first_round_pair(spark, monkeypatch):
+    """A leader takes a row, and the only partner of that row is too short to resemble the leader."""
+    docs = []
+    for g in range(20):
+        base = [f"g{g}w{i}" for i in range(103)]
+        texts = [" ".join(base)] + [" ".join(base[:102] + [f"e{g}.{k}"]) for k in range(4)] + [" ".join(base[:83]), " ".join(base[:82])]
+        sig = near_dedup.signatures([near_dedup.shingle_set(t, 4) for t in texts])
+        if (sig[:, :3] == sig[0, :3]).all():
+            docs += texts
+    assert len(docs) >= 21
+    docs = list(enumerate(docs))
+    monkeypatch.setattr(near_dedup, "TREES", 1)
+    want = {m: min(g) for g in brute(docs, 4, 80)[1].values() for m in g}
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_rows_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s t u v"), (None, None)], "doc_id bigint, text string")
     got = sorted((r.component_id is None, r.kept, r.doc_id) if r.doc_id is not None else (r.component_id is None, r.kept, -1) for r in near_dedup.near_duplicates(df).collect())
