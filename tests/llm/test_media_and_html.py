@@ -87,6 +87,13 @@ def test_repeated_runs_of_a_host_go(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_runs_are_counted_over_the_whole_host(spark):
+    run = " ".join(f"shared{k}" for k in range(40))
+    pages = [(i, f"https://big.example/{i}", f"<p>Own{i} a{i} b{i} c{i}</p>" + (f"<p>{run}</p>" if i % 150 == 0 else "")) for i in range(1500)]
+    rows = html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"Own{i} a{i} b{i} c{i}" for i in range(1500)}
+
+
 def test_suffix_runs_against_brute_force():
     rng = random.Random(3)
     pages = [[[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(2)] for _ in range(6)]
