@@ -94,6 +94,13 @@ def test_runs_are_counted_over_the_whole_host(spark):
     assert {r.page_id: r.text for r in rows} == {i: f"Own{i} a{i} b{i} c{i}" for i in range(1500)}
 
 
+def test_common_phrases_and_headings_stay(spark):
+    quote = "as the minister said on the same day in the house"
+    pages = [(i, f"https://prose.example/{i}", f"<div>Home News Sport</div><h2>{'Background' if i % 4 == 0 else f'Part {i}'}</h2><p>Page{i} tells, {quote}, of item{i}.</p>") for i in range(40)]
+    rows = html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"{'Background' if i % 4 == 0 else f'Part {i}'}\nPage{i} tells, {quote}, of item{i}." for i in range(40)}
+
+
 def test_suffix_runs_against_brute_force():
     rng = random.Random(3)
     pages = [[[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(2)] for _ in range(6)]
