@@ -11,7 +11,7 @@ def _col(c) -> Column:
 
 
 def le_uint(data, start: int, width: int) -> Column:
-    """The little-endian unsigned integer of ``width`` bytes (up to 7) at a 1-based position of a binary column."""
+    """The little-endian unsigned integer of ``width`` bytes (up to 8, from 2**63 on as a signed bigint) at a 1-based position of a binary column."""
     out = F.lit(0).cast("bigint")
     for i in range(width):
         byte = F.conv(F.hex(_col(data).substr(start + i, 1)), 16, 10).cast("bigint")
@@ -49,7 +49,7 @@ def decode_vref(data) -> Column:
 
     def made(wide: bool) -> Column:
         return F.struct(
-            le_uint(d, 1, 7).alias("segment_id"), le_uint(d, 9, 7 if wide else 4).alias("offset"),
+            le_uint(d, 1, 8).alias("segment_id"), le_uint(d, 9, 8 if wide else 4).alias("offset"),
             le_uint(d, at(wide), 4).alias("value_len"), le_uint(d, at(wide) + 4, 4).alias("checksum"),
         )
 

@@ -77,6 +77,12 @@ def test_binary_formats(spark, tmp_path):
     assert formats.read_manifest(spark, str(tmp_path / "MANIFEST")).first().asDict() == {**m[0], "smallest": bytearray(b"a"), "largest": bytearray(b"e")}
 
 
+def test_references_to_segments_named_by_nanoseconds(spark):
+    refs = [(1_700_000_000_123_456_789, 2, 3, 4), (2**63 - 1, 2**60 + 5, 1, 1)]
+    df = spark.createDataFrame([(r,) for r in refs], "vref struct<segment_id:bigint,offset:bigint,value_len:bigint,checksum:bigint>")
+    assert all(r.d == r.vref for r in df.select("vref", encoding.decode_vref(encoding.encode_vref("vref")).alias("d")).collect())
+
+
 def test_reference_codec_and_integrity(spark):
     refs = [(1, 2, 3, 4), (2**40, 2**32 + 5, 2**32 - 1, 2**31)]
     df = spark.createDataFrame([(r,) for r in refs], "vref struct<segment_id:bigint,offset:bigint,value_len:bigint,checksum:bigint>")
