@@ -26,13 +26,15 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of the operator's own only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; one of the operator's own only where that is unset, on a local master (tests)."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         place = tempfile.mkdtemp(prefix="strata-ckpt-")
@@ -46,6 +48,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Buckets, of 2**15 bits each, of the bitmap that ``flagged`` broadcasts: 8 MB, whatever the size of the data.
+BUCKETS = 2048
+
+
+def flagged(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
+    """left plus a boolean column: false only if right has no row with equal, non-null ``on``.
+
+    A bitmap of right's key hashes, of fixed size, decides on each row without a shuffle of left.  A
+    hash that two keys share makes a true flag too many, never a false one: a join must follow.
+    """
+    bit, bucket, bits = fresh(left, f"{name}_bit"), fresh(left, f"{name}_bucket"), fresh(left, f"{name}_bits")
+    spot = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in on)), F.lit(BUCKETS << 15))
+    held = right.select(spot.alias(bit)).select(F.shiftright(bit, 15).cast("int").alias(bucket), (F.col(bit) % 32768).alias(bit))
+    maps = cut(held.repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias(bits)))
+    own = left.withColumn(bit, spot).withColumn(bucket, F.shiftright(bit, 15).cast("int")).withColumn(bit, (F.col(bit) % 32768).cast("int"))
+    byte = F.conv(F.hex(F.col(bits).substr(F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(F.coalesce(byte, F.lit(0)), F.col(bit) % 8) == 1
+    return own.join(F.broadcast(maps), bucket, "left").withColumn(name, hit).drop(bit, bucket, bits)
+
+
 #: Rows of a side that may be broadcast, once a count has shown that it has no more.
 BROADCAST_ROWS = 20_000
 

@@ -1,29 +1,31 @@
 """Near-duplicate groups from a MinHash LSH forest, confirmed on whole shingle sets.
 
-Documents with equal shingle sets are one node.  Each of TREES sorted orders of a node's minima
-gives it a key; nodes whose keys share a prefix of DEPTH minima form a region.  No region is divided
-by a longer prefix: one of more than REGION rows is dealt into parts, and no task holds more than two.
-
-Round 1: in a region, neighbours are compared by their one-byte signatures; a row that resembles a
-leader is paired with the first such one, others become leaders, those near the region's consensus
-first.  The parts of a large region share its best leaders.  Pairs are confirmed on the whole texts and
-joined to components.  Round 2: in regions whose rows lie in several components, every pair across
-components that resembles and can reach the similarity is confirmed too, so what a leader hid is
-found; in a large region each part of the rows outside its largest component meets each part of all
-rows.  A pair's intersection is bounded by the sets' sizes and, in regions of over DENSE rows, by
-the shingles that some other node of a dense region has; a copy edited beyond the similarity has
-too many of its own.  Both bounds are exact.  Groups of copies thus cost pairs about in proportion
-to their rows, and no partner or candidate is capped; rows that a large region leaves outside its
-largest component cost blocks with the product of both counts.
-
-Two sets with similarity 0.8 meet in a region in some tree with probability
-1 - (1 - 0.8**3)**16 = 0.99999, 64 one-byte minima differ too much with probability 2e-7 (round 1), 256 with 3e-6 (round 2),
-whatever the region's size.
+Documents with equal shingle sets are one node.  TREES trees sort all nodes, each by its own
+sequence of DEEPEST minima; the longer the common prefix of two neighbours in such an order, the
+likelier they are alike.  Nodes with a common prefix of DEPTH minima form a region, whose nodes are
+all candidates of each other.  A region of up to ROWS nodes and SHINGLES shingles is compared whole
+in one task, on whole sets; regions with the same nodes in several trees are compared once.
+
+The depth of a larger region adapts: it is divided by longer prefixes until its parts fit, so the
+longest-common-prefix neighbours meet first.  What even the longest prefix leaves too large is
+dealt by hash, and the best-linked node of all its parts meets every part.  Division alone would
+lose links between parts, so a second round makes up for it, exactly: every node outside a large
+region's largest component meets every node of the region, in blocks of parts against parts.  Nodes
+with too many shingles of their own to reach the similarity (an exact bound) are left out of it.
+
+No partner or candidate is capped.  Tasks return a spanning forest of the links they find, at most
+one link for each of their rows, never the pairs of a group; sets go to a task once for each row of
+a block, not for each pair.  Rows that a large region leaves outside its largest component cost
+blocks with the product of both counts.
+
+Two sets with similarity 0.8 meet in a region of some tree with probability
+1 - (1 - 0.8**3)**16 = 0.99999, whatever the region's size and depth; all later steps are exact.
 
 Defined results: null or blank texts have no shingles and stand alone; a text of fewer words than
 a shingle is one shingle; ``component_id`` is the smallest id of the component, null if none has
 one; rows without an id are kept only if their whole component has none; extra columns are left
-out; repeated rows get equal results.
+out of ``near_duplicates`` and pass through ``keep_one``, whatever their names; rows equal in id
+and text get equal results, and ``keep_one`` leaves one of them.
 """
 
 from __future__ import annotations
@@ -36,19 +38,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import beside, cut, fresh, table
+from strata.llm.common import cut, flagged, fresh, table
 
-TREES, HASHES = 16, 64
-#: Further minima, of which the second round has a byte each.
-MORE = 192
-#: Minima of a region's prefix.
-DEPTH = 3
-#: Rows of a region held in one task, about; a larger one is dealt to several, every pair of whose parts meets.
-REGION = 4096
+#: Trees, minima of a region's prefix, and minima of a tree's whole key (two bytes each).
+TREES, DEPTH, DEEPEST = 16, 3, 6
+#: Nodes and shingles that one task compares at a time.
+ROWS, SHINGLES = 1024, 1 << 19
+#: Texts that a worker holds as sets at a time.
+SLICE = 64
 
 _rng = np.random.default_rng(7)
-_A = (_rng.integers(1, 1 << 63, HASHES + MORE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES + MORE, dtype=np.uint64)
+_A = (_rng.integers(1, 1 << 63, TREES * DEEPEST, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_B = _rng.integers(0, 1 << 63, TREES * DEEPEST, dtype=np.uint64)
 _P = (_rng.integers(1, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -56,7 +57,7 @@ class _Words(dict):
     """word (UTF-8) -> 64-bit hash; starts again when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -88,11 +89,11 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """len(sets) x (HASHES + MORE) minima (uint32); none of the sets empty."""
+    """len(sets) x (TREES * DEEPEST) minima, two bytes of each; none of the sets empty."""
     x, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), HASHES + MORE), np.uint32)
-    for k in range(HASHES + MORE):
-        out[:, k] = np.minimum.reduceat(((x * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), starts)
+    out = np.empty((len(sets), TREES * DEEPEST), np.uint16)
+    for k in range(TREES * DEEPEST):
+        out[:, k] = np.minimum.reduceat(((x * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), starts).astype(np.uint16)
     return out
 
 
@@ -101,263 +102,204 @@ def _row_key(doc_id: str, text: str) -> Column:
 
 
 def sketches(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, n_shingles, digest, minima, bytes): digest names the set, row the document; digest null if it is empty."""
+    """(doc_id, row, n_shingles, digest, minima): digest names the set, row the document; digest null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n, digest, minima, low = b.column(2).to_pylist(), [], [], [], []
-            for i in range(0, len(texts), 64):
-                sets = [shingle_set(t, width) for t in texts[i : i + 64]]
+            n, digest, minima = [], [], []
+            for i in range(0, b.num_rows, SLICE):
+                sets = [shingle_set(t, width) for t in b.column(2).slice(i, SLICE).to_pylist()]
                 full = [s for s in sets if len(s)]
-                sig = iter(signatures(full) if full else ())
+                sig = iter(signatures(full).astype(">u2") if full else ())
                 for s in sets:
                     n.append(len(s))
-                    if len(s):
-                        own = next(sig)
-                        digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        minima.append(own[:HASHES].astype(">u4").tobytes())
-                        low.append((own & np.uint32(255)).astype(np.uint8).tobytes())
-                    else:
-                        digest.append(None)
-                        minima.append(None)
-                        low.append(None)
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    minima.append(next(sig).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (digest, minima, low)]],
-                names=["doc_id", "row", "n_shingles", "digest", "minima", "bytes"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(minima, pa.binary())],
+                names=["doc_id", "row", "n_shingles", "digest", "minima"],
             )
 
     kind = df.schema[doc_id].dataType.simpleString()
     held = df.select(F.col(f"`{doc_id}`").alias("doc_id"), _row_key(doc_id, text).alias("row"), F.col(f"`{text}`"))
-    return held.mapInArrow(run, f"doc_id {kind}, row binary, n_shingles bigint, digest binary, minima binary, bytes binary")
-
-
-#: What a row of a region has of its node: size of its set, shingles that some other node may share, component.
-NODE = ("digest", "bytes", "size", "shared", "comp")
-#: Rows of a region from which unique shingles are counted before its second round.
-DENSE = 16
-#: Leaders that the parts of a large region share in the first round.
-PIVOTS = 16
-
-
-def _members(nodes: DataFrame) -> DataFrame:
-    """(block, digest, n): every node and tree whose region, named by block, has n > 1 nodes."""
-    tree = F.col("tree")
-    prefix = F.concat("minima", "minima").substr(tree * (4 * HASHES // TREES) + 1, F.lit(4 * DEPTH))
-    rows = nodes.select("digest", "minima", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    keys = rows.select(F.xxhash64("tree", prefix).alias("block"), "digest")
-    several = keys.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return cut(keys.join(several, "block"))
-
-
-def _of(digest: Column, n: Column) -> Column:
-    """Which of the parts of about REGION rows that n rows are dealt into."""
-    return F.pmod(F.xxhash64(digest), F.ceil(n / REGION)).cast("int")
-
-
-def _first_rows(rows: DataFrame, percent: int) -> DataFrame:
-    """Blocks of the first round, of rows (block, n, NODE): parts of a large region get its best leaders too."""
-    small = rows.where(F.col("n") <= REGION).select("block", *NODE, F.lit(0).alias("role"))
-    large = rows.where(F.col("n") > REGION)
-    if large.isEmpty():
-        return small
-    parts = large.withColumn("part", _of(F.col("digest"), F.col("n"))).withColumn("region", F.col("block"))
-    parts = cut(parts.select(F.xxhash64("region", "part").alias("block"), "region", *NODE))
-    best = leaders(leaders(parts, percent).withColumn("block", F.col("region")), percent).select("region", *NODE)
-    blocks = cut(parts.select("region", "block").distinct())
-    return small.unionByName(parts.select("block", *NODE, F.lit(0).alias("role"))).unionByName(
-        blocks.join(best, "region").select("block", *NODE, F.lit(1).alias("role"))
-    )
-
+    return held.mapInArrow(run, f"doc_id {kind}, row binary, n_shingles bigint, digest binary, minima binary")
 
-def _second_rows(rows: DataFrame, percent: int) -> DataFrame:
-    """Blocks of the second round, of rows (block, n, NODE).
-
-    A large region's nodes outside its largest component probe all of its nodes: each part of the
-    probes meets each part of the nodes in a block of its own, so that every pair across components meets.
-    """
-    small = rows.where(F.col("n") <= REGION).select("block", *NODE, F.lit(0).alias("role"))
-    large = rows.where((F.col("n") > REGION) & (100 * F.col("shared") >= percent * F.col("size")))  # others link with nothing
-    if large.isEmpty():
-        return small
-    large = cut(large)
-    sizes = large.groupBy("block", "comp").agg(F.count("*").alias("own")).groupBy("block")
-    sizes = sizes.agg(F.max(F.struct("own", "comp")).alias("top"), F.sum("own").alias("all")).withColumn("others", F.col("all") - F.col("top.own"))
-    large = beside(large, cut(sizes.where("others > 0").select("block", F.col("top.comp").alias("main"), "all", "others")), "block")
 
-    def each(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / REGION).cast("int") - 1))
+def _prefix(depth: int) -> Column:
+    return F.substring("key", 1, 2 * depth)
 
-    held = large.withColumn("a", _of(F.col("digest"), F.col("all"))).withColumn("b", each("others")).withColumn("role", F.lit(0))
-    probes = large.where(F.col("comp") != F.col("main")).withColumn("a", each("all")).withColumn("b", _of(F.col("digest"), F.col("others")))
-    both = held.unionByName(probes.withColumn("role", F.lit(1)))
-    return small.unionByName(both.select(F.xxhash64("block", "a", "b").alias("block"), *NODE, "role"))
 
+def _parts(n: str, weight: str) -> Column:
+    """Into how many parts n nodes with so many shingles are dealt."""
+    return F.greatest(F.ceil(F.col(n) / ROWS), F.ceil(F.col(weight) / SHINGLES)).cast("int")
 
-#: Equal one-byte minima from which two nodes are candidates: of HASHES, and of HASHES + MORE in the second round.
-ALIKE, ALIKE_MORE = 35, 176
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with their block's nodes (n) and shingles (weight), of blocks of several nodes."""
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    return rows.drop("n", "weight").join(sizes, "block")
 
-def _led(near, sig: np.ndarray, role: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Leaders and the rows that each takes.
 
-    Rows of role 1 lead first, then those next to the region's consensus, so that most of a group of
-    copies joins one near its origin.
+def forest_regions(nodes: DataFrame) -> DataFrame:
+    """(block, key, digest, size, n, weight): the nodes of every region of several nodes, which block names."""
+    tree, step = F.col("tree"), 2 * DEEPEST
+    rows = nodes.select("digest", "size", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "minima")
+    rows = rows.select("digest", "size", F.col("minima").substr(tree * step + 1, F.lit(step)).alias("key"), "tree")
+    rows = rows.select(F.xxhash64("tree", _prefix(DEPTH)).alias("block"), "key", "digest", "size")
+    several = cut(rows.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1"))
+    found = flagged(rows, several, ["block"], "several").where("several").drop("several")  # most nodes are in no region
+    members = cut(found.join(several, "block"))
+    # The same nodes may form a region in several trees; two sums of hashes tell.
+    same = members.groupBy("block").agg(
+        F.first("n").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("y")
+    )
+    once = same.groupBy("n", "x", "y").agg(F.min("block").alias("block")).select("block")
+    return cut(members.join(once, "block", "left_semi"))
+
+
+def _blocks(regions: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks that fit a task: whole regions, parts of large ones by their longest prefixes; and what hash parts they had."""
+    fits = (F.col("n") <= ROWS) & (F.col("weight") <= SHINGLES)
+    blocks, left, depth = [regions.where(fits)], large, DEPTH
+    while depth < DEEPEST and not left.isEmpty():
+        depth += 1
+        parts = cut(_counted(left.withColumn("block", F.xxhash64("block", _prefix(depth)))))
+        blocks.append(parts.where(fits))
+        left = parts.where(~fits)
+    names = ["block", "digest"]
+    whole = blocks[0].select(*names)
+    for b in blocks[1:]:
+        whole = whole.unionByName(b.select(*names))
+    if left.isEmpty():
+        return whole, None
+    part = F.pmod(F.xxhash64("digest"), _parts("n", "weight"))
+    dealt = cut(left.select(F.col("block").alias("region"), F.xxhash64("block", part).alias("block"), "digest"))
+    return whole.unionByName(dealt.select(*names)), dealt
+
+
+def linked(sets: list[np.ndarray], role: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links i - each of the rows taken, a spanning forest of all links of sets that are not of one component yet.
+
+    Rows go through a group from those with the most common shingles on; each takes those that it is
+    linked with and that no other row of its group has taken.  If there are rows of role 1, they
+    are compared with rows of role 0 alone.
     """
-    common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
-    free = np.ones(len(sig), bool)
-    for i in np.lexsort((-(sig == common).sum(1), -role)):
-        if free[i]:
-            free[i] = False
-            hit = near(i) & free
-            free[hit] = False
-            yield int(i), np.flatnonzero(hit)
-
-
-def _near(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, alike: int, percent: int):
-    def near(i: int) -> np.ndarray:
-        most = np.minimum(shared, shared[i])  # an intersection's bound
-        return ((sig == sig[i]).sum(1) >= alike) & (100 * most >= percent * (size + size[i] - most))
-
-    return near
-
-
-def _pairs_of_run(sig: np.ndarray, size: np.ndarray, shared: np.ndarray, role: np.ndarray, comp: list[bytes], second: bool, percent: int) -> Iterator[tuple[int, int]]:
-    near = _near(sig, size, shared, ALIKE_MORE if second else ALIKE, percent)
-    if second:
-        codes = np.unique(np.array(comp, object), return_inverse=True)[1]
-        if codes.max() == 0:
-            return
-        alone = 100 * shared < percent * size  # can be linked with nothing
-        probes, held = (role == 1, role == 0) if role.any() else (codes != np.bincount(codes).argmax(), True)
-        for i in np.flatnonzero(probes & ~alone):
-            for j in np.flatnonzero(near(i) & (codes != codes[i]) & held):
-                yield int(i), int(j)
+    size = np.array([len(s) for s in sets])
+    flat, starts = np.concatenate(sets), np.r_[0, np.cumsum(size)[:-1]]
+    _, ids, count = np.unique(flat, return_inverse=True, return_counts=True)
+    count = count[ids]
+    common = np.add.reduceat((count > 1).astype(np.int64), starts)
+    free = 100 * common >= percent * size  # others share too little with anyone here
+    if free.sum() < 2:
         return
-    for i, hit in _led(near, sig, role):
-        for j in hit:
-            yield i, int(j)
+    score, both_roles = np.add.reduceat(count, starts) / size, bool(role.any())
+    of = {}
+    for i, c in enumerate(comp):
+        of.setdefault(c, []).append(i)
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    rows = np.flatnonzero(free)  # those still in flat
+    own = [ids[a : a + n] for a, n in zip(starts, size, strict=True)]
+    flat, starts = np.concatenate([own[i] for i in rows]), np.r_[0, np.cumsum(size[rows])[:-1]]
+
+    def taken(i: int) -> np.ndarray:
+        mark[own[i]] = True
+        both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[own[i]] = False
+        hit = free[rows] & (100 * both >= percent * (size[rows] + size[i] - both))
+        return rows[hit & (role[rows] != role[i])] if both_roles else rows[hit]
+
+    for first in np.argsort(-score, kind="stable"):
+        if not free[first]:
+            continue
+        queue = of[comp[first]][:]
+        free[queue] = False
+        while queue:
+            live = free[rows]
+            if not live.any():
+                break
+            if 2 * live.sum() < len(rows):
+                rows = rows[live]
+                flat, starts = np.concatenate([own[i] for i in rows]), np.r_[0, np.cumsum(size[rows])[:-1]]
+            i = queue.pop()
+            hit = taken(i)
+            if len(hit):
+                yield i, hit
+                for j in hit:
+                    if free[j]:
+                        free[of[comp[j]]] = False
+                        queue += of[comp[j]]
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole blocks, of batches sorted by block."""
     held: list[pa.RecordBatch] = []
     for b in batches:
-        held.append(b)
-        t = pa.Table.from_batches(held)
-        block = t["block"].to_numpy()
-        last = int(np.searchsorted(block, block[-1])) if len(block) else 0
-        if last:
-            yield t.slice(0, last).combine_chunks()
-            held = t.slice(last).combine_chunks().to_batches()
+        block = b.column(0).to_numpy()
+        if held and len(block) and held[-1].column(0)[-1].as_py() == block[0]:
+            end = int(np.searchsorted(block, block[0], "right"))
+            held.append(b.slice(0, end))
+            b, block = b.slice(end), block[end:]
+        if len(block):
+            if held:
+                yield pa.Table.from_batches(held)
+            last = int(np.searchsorted(block, block[-1]))
+            if last:
+                yield pa.Table.from_batches([b.slice(0, last)])
+            held = [b.slice(last)]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held)
 
 
-def leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """(region, NODE) of the PIVOTS rows of each block that take the most others."""
+def links_within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(block, a, b): spanning links within the blocks of rows (block, digest, role, comp), found on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_blocks(batches):
-            block = t["block"].to_numpy()
+            block, out = t["block"].to_numpy(), ([], [], [])
             edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            sig = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8).reshape(-1, HASHES)
-            size, best = t["size"].to_numpy(), []
-            for a, b in zip(edges, edges[1:], strict=False):
-                own, n = sig[a:b], size[a:b]
-                led = [(-len(hit), i) for i, hit in _led(_near(own, n, n, ALIKE, percent), own, np.zeros(b - a, int))]
-                best += [a + i for _, i in sorted(led)[:PIVOTS]]
-            yield from t.select(["region", *NODE]).take(pa.array(best, pa.int64())).to_batches()
+            for start, end in zip(edges, edges[1:], strict=False):
+                if end - start < 2:
+                    continue
+                digest, role, comp, held = (t[c].slice(start, end - start).to_pylist() for c in ("digest", "role", "comp", "set"))
+                for i, hit in linked([np.frombuffer(s, np.uint64) for s in held], np.array(role), comp, percent):
+                    out[0].extend([block[start]] * len(hit))
+                    out[1].extend([digest[i]] * len(hit))
+                    out[2].extend([digest[j] for j in hit])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "a", "b"])
 
-    held = rows.select("block", "region", *NODE).repartition("block").sortWithinPartitions("block")
-    return cut(held.mapInArrow(run, "region bigint, digest binary, bytes binary, size bigint, shared bigint, comp binary"))
+    held = rows.join(sets, "digest").select("block", "digest", "role", "comp", "set")
+    return held.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block bigint, a binary, b binary")
 
 
-def candidate_pairs(rows: DataFrame, second: bool, percent: int) -> DataFrame:
-    """Distinct (a, b) with a < b of nodes that resemble in some block, given its rows."""
+def sets_of(df: DataFrame, rows: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(digest, set) of rows (digest, row): the shingle sets of the documents that row names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, width, alike = ["a", "b"], HASHES + MORE * second, ALIKE_MORE if second else ALIKE
-
-        def made(pairs):
-            ends = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in ends], pa.binary()) for k in (0, 1)], names=names)
-
-        def closed(t: pa.Table):
-            block = t["block"].to_numpy()
-            edges = np.flatnonzero(np.diff(block)) + 1
-            starts, ends = np.r_[0, edges], np.r_[edges, len(block)]
-            several = np.flatnonzero(ends - starts > 1)
-            digest, low, out = t["digest"], t["bytes"], []
-            sig = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(-1, width)
-            size, shared, role = t["size"].to_numpy(), t["shared"].to_numpy(), t["role"].to_numpy()
-            pairs_only = several[(ends - starts)[several] == 2]
-            if len(pairs_only):  # most regions: all at once
-                i = starts[pairs_only]
-                most = np.minimum(shared[i], shared[i + 1])
-                i = i[((sig[i] == sig[i + 1]).sum(1) >= alike) & (100 * most >= percent * (size[i] + size[i + 1] - most))]
-                out += zip(digest.take(pa.array(i)).to_pylist(), digest.take(pa.array(i + 1)).to_pylist(), strict=True)
-                if second:
-                    same = [a == b for a, b in zip(t["comp"].take(pa.array(i)).to_pylist(), t["comp"].take(pa.array(i + 1)).to_pylist(), strict=True)]
-                    out = [p for p, s in zip(out, same, strict=True) if not s]
-            for k in several[(ends - starts)[several] > 2]:
-                a, b = starts[k], ends[k]
-                own = digest.slice(a, b - a).to_pylist()
-                comp = t["comp"].slice(a, b - a).to_pylist() if second else []
-                out += [(own[i], own[j]) for i, j in _pairs_of_run(sig[a:b], size[a:b], shared[a:b], role[a:b], comp, second, percent)]
-            return made(out)
-
-        for t in _whole_blocks(batches):
-            yield closed(t)
-
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary").distinct()
-
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                few = b.slice(i, SLICE)
+                sets = [shingle_set(t, width).tobytes() for t in few.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(sets, pa.binary())], names=["digest", "set"])
 
-def texts_of(df: DataFrame, ends: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(digest, text) of a document of each node in ends."""
-    rows = cut(nodes.select("digest", "row").join(ends, "digest", "left_semi"))
     held = df.select(_row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
-    return cut(beside(held, rows, "row").groupBy("digest").agg(F.min("text").alias("text")))
+    texts = flagged(held, rows, ["row"], "wanted").where("wanted").groupBy("row").agg(F.min("text").alias("text"))
+    return cut(texts.join(rows, "row").select("digest", "text").mapInArrow(run, "digest binary, set binary"))
 
 
-def unique_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(node, n): how many of a node's shingles no other node in texts has; node is the digest's hash."""
+def unique_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles no other node in sets has; node is the digest's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                sets = [shingle_set(t, width) for t in texts[i : i + 64]]
-                who = np.repeat(own[i : i + 64], [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(who)], names=["x", "node"])
+            node = b.column(0).to_numpy()
+            for i in range(0, b.num_rows, SLICE):
+                held = b.column(1).slice(i, SLICE).to_pylist()
+                x = np.frombuffer(b"".join(held), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.repeat(node[i : i + SLICE], [len(s) // 8 for s in held]))], names=["x", "node"])
 
-    spread = texts.select(F.xxhash64("digest").alias("node"), "text").mapInArrow(run, "x bigint, node bigint")
+    spread = sets.select(F.xxhash64("digest").alias("node"), "set").mapInArrow(run, "x bigint, node bigint")
     once = spread.groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return once.groupBy("node").agg(F.count("*").alias("n"))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs whose whole sets have 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, np.ndarray] = {}
-        for whole in batches:
-            for at in range(0, len(whole), 64):  # texts may be long: few are held as Python values at a time
-                b = whole.slice(at, 64)
-                keep = []
-                for da, ta, tb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x = seen.get(da)
-                    if x is None:
-                        if len(seen) >= 64:
-                            seen.clear()
-                        x = seen[da] = shingle_set(ta, width)
-                    y = shingle_set(tb, width)
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b").mapInArrow(run, "a binary, b binary")
+    return once.groupBy("node").agg(F.count("*").alias("own"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -367,66 +309,104 @@ def components(links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of a component's width.  Joins are plain ones on keys, which
     adaptive execution splits where a node or label is hot.
     """
-    both = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("m")).select("digest", F.least("digest", "m").alias("comp")))
     while True:
-        near = beside(both, labels.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("comp").alias("m"))
+        near = both.join(labels.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("comp").alias("m"))
         spread = cut(labels.join(near, "digest").select("digest", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")))
         jump = spread.select(F.col("digest").alias("comp"), F.col("comp").alias("next"))
-        new = cut(beside(spread, jump, "comp").select("digest", F.least("comp", "next").alias("comp"), "was"))
+        new = cut(spread.join(jump, "comp").select("digest", F.least("comp", "next").alias("comp"), "was"))
         if new.where(F.col("comp") != F.col("was")).isEmpty():
             return new.select("digest", "comp")
         labels = new.select("digest", "comp")
 
 
+def _plain(rows: DataFrame, role: int = 0) -> DataFrame:
+    return rows.select("block", "digest", F.lit(role).alias("role"), F.col("digest").alias("comp"))
+
+
+def _first_links(regions: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    blocks, dealt = _blocks(regions, large)
+    links = cut(links_within(_plain(blocks), sets, percent))
+    if dealt is None:
+        return links
+    parts = dealt.select("region", "block").distinct()
+    best = links.join(parts, "block").groupBy("region", "a").agg(F.count("*").alias("n"))
+    best = best.groupBy("region").agg(F.max(F.struct("n", "a")).alias("top")).select("region", F.col("top.a").alias("digest"))
+    probes = _plain(parts.join(best, "region"), 1)
+    return links.unionByName(cut(links_within(probes.unionByName(_plain(dealt)), sets, percent)))
+
+
+def _second_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links in large regions between nodes outside the largest component and all nodes; None if there are no such nodes."""
+    rows = large.select("block", "digest", "size").join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    if rows.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").isEmpty():
+        return None
+    own = cut(unique_shingles(sets.join(large.select("digest").distinct(), "digest", "left_semi")))
+    rows = rows.withColumn("node", F.xxhash64("digest")).join(own, "node", "left")
+    rows = cut(rows.where(100 * (F.col("size") - F.coalesce("own", F.lit(0))) >= percent * F.col("size")).drop("node", "own"))
+    sizes = rows.groupBy("block", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("w")).groupBy("block")
+    sizes = sizes.agg(F.max(F.struct("n", "w", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    sizes = sizes.withColumn("n2", F.col("n") - F.col("top.n")).withColumn("w2", F.col("w") - F.col("top.w")).where("n2 > 0")
+    rows = rows.join(sizes.select("block", F.col("top.comp").alias("main"), _parts("n", "w").alias("all"), _parts("n2", "w2").alias("rest")), "block")
+
+    def part(of: str) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.col(of))
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    held = rows.withColumn("a", part("all")).withColumn("b", each("rest")).withColumn("role", F.lit(0))
+    probes = rows.where(F.col("comp") != F.col("main")).withColumn("b", part("rest")).withColumn("a", each("all")).withColumn("role", F.lit(1))
+    names = ["block", "digest", "role", "comp"]
+    both = held.unionByName(probes, allowMissingColumns=True).withColumn("block", F.xxhash64("block", F.col("a").cast("int"), F.col("b").cast("int")))
+    return cut(links_within(both.select(*names), sets, percent))
+
+
 def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_shingles, row, comp) for every row of df: rows of equal comp are one group, row names (id, text)."""
     held = cut(sketches(df, width, doc_id, text))
-    sets = held.where(F.col("digest").isNotNull())
-    nodes = cut(
-        sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("bytes").alias("all_bytes"), F.min("n_shingles").alias("size"))
-    )
-    members = _members(nodes)
-    every = nodes.select("digest", F.substring("all_bytes", 1, HASHES).alias("bytes"), "size", F.col("size").alias("shared"), F.lit(None).cast("binary").alias("comp"))
-    first = cut(candidate_pairs(_first_rows(members.join(every, "digest"), percent), False, percent))
-    texts = texts_of(df, cut(members.select("digest").distinct()), nodes, doc_id, text)
-    links = cut(confirmed(first, texts, width, percent))
+    full = held.where(F.col("digest").isNotNull())
+    nodes = cut(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("minima").alias("minima"), F.min("n_shingles").alias("size")))
+    regions = forest_regions(nodes)
+    large = regions.where((F.col("n") > ROWS) | (F.col("weight") > SHINGLES))
+    wanted = cut(nodes.select("digest", "row").join(regions.select("digest").distinct(), "digest", "left_semi"))
+    sets = sets_of(df, wanted, width, doc_id, text)
+    links = _first_links(regions, large, sets, percent)
     labels = components(links)
-    # All nodes of a region take part: one that no leader resembled may still resemble a row that a leader took.
-    again = cut(beside(members.drop("n"), labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
-    mixed = again.groupBy("block").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    again = beside(again, cut(mixed.select("block", "n")), "block")
-    rows = cut(again.join(nodes.select("digest", F.col("all_bytes").alias("bytes"), "size", F.col("size").alias("shared")), "digest"))
-    # In dense regions a node's own shingles, which no partner shares, bound its intersections.
-    dense = cut(rows.where(F.col("n") > DENSE).select("digest").distinct())
-    alone = cut(unique_shingles(beside(texts, dense, "digest", "left_semi"), width).select("node", F.col("n").alias("own")))
-    light, heavy = rows.where(F.col("n") <= DENSE), rows.where(F.col("n") > DENSE).withColumn("node", F.xxhash64("digest"))
-    heavy = beside(heavy, alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
-    bounded = _second_rows(light.unionByName(heavy.drop("node", "own")), percent)
-    more = cut(candidate_pairs(bounded, True, percent).join(first, ["a", "b"], "left_anti"))
-    extra = cut(confirmed(more, texts, width, percent))
-    if not extra.isEmpty():
-        labels = components(links.union(extra))
-    named = beside(held.select("doc_id", "n_shingles", "row", "digest"), labels, "digest", "left")
+    more = None if large.isEmpty() else _second_links(large, labels, sets, percent)
+    if more is not None and not more.isEmpty():
+        labels = components(links.unionByName(more))
+    named = held.select("doc_id", "n_shingles", "row", "digest").join(labels, "digest", "left")
     return cut(named.select("doc_id", "n_shingles", "row", F.coalesce("comp", "digest", "row").alias("comp")))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of df."""
     named = grouped(df, width, percent, doc_id, text)
-    least = cut(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return named.join(least, "comp", "left").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group: the one with the smallest id (rows without an id last)."""
+    """df with one row of each group: the one with the smallest id (rows without an id last).
+
+    Only rows that may have to go are shuffled.
+    """
     named = grouped(df, width, percent, doc_id, text)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stays = cut(named.groupBy("comp").agg(first.alias("f")).select(F.col("f.row").alias(fresh(df, "__stays"))))
-    key = fresh(df, "__row")
-    rows = df.withColumn(key, _row_key(doc_id, text))
-    return rows.join(stays, rows[key] == stays[stays.columns[0]], "left_semi").dropDuplicates([key]).drop(key)
+    stays = named.groupBy("comp").agg(first.alias("f")).select("comp", F.col("f.row").alias("stays"))
+    rows = named.groupBy("row").agg(F.min("comp").alias("comp"), F.count("*").alias("n")).join(stays, "comp")
+    key, gone, maybe = fresh(df, "__row"), fresh(df, "__gone"), fresh(df, "__maybe")
+    doubtful = cut(rows.where((F.col("row") != F.col("stays")) | (F.col("n") > 1)).select(F.col("row").alias(key), (F.col("row") != F.col("stays")).alias(gone)))
+    seen = flagged(df.withColumn(key, _row_key(doc_id, text)), doubtful, [key], maybe)
+    once = seen.where(F.col(maybe)).dropDuplicates([key]).join(doubtful, key, "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    return seen.where(~F.col(maybe)).select(*_quoted(df)).unionByName(once.select(*_quoted(df)))
+
+
+def _quoted(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def query(spark, sf_dir):

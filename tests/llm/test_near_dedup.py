@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from strata.llm import near_dedup
 
 
@@ -58,8 +60,8 @@ def test_components_against_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_dense_and_divided_regions(spark, monkeypatch):
-    """Small limits force long prefixes, shared pivots, blocks and unique-shingle bounds on one large group."""
+def test_divided_regions(spark, monkeypatch):
+    """Small limits force long prefixes, hash parts and the second round on one large group; no link is lost."""
     rng = random.Random(4)
     base = [f"b{i}" for i in range(120)]
     docs = []
@@ -71,11 +73,35 @@ def test_dense_and_divided_regions(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     _, groups = brute(docs, 4, 80)
     want = {docs[m][0]: min(g) for g in groups.values() for m in g}
-    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4).collect()} == want
-    monkeypatch.setattr(near_dedup, "REGION", 40)
-    monkeypatch.setattr(near_dedup, "DENSE", 8)
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4).collect()}
-    assert sum(got[d] != want[d] for d in want) <= 5  # divided regions find links with high probability
+    for rows, shingles in ((1024, 3000), (12, 1 << 19)):
+        monkeypatch.setattr(near_dedup, "ROWS", rows)
+        monkeypatch.setattr(near_dedup, "SHINGLES", shingles)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4).collect()} == want
+
+
+def test_links_of_a_block_against_brute_force():
+    """The spanning forest joins just what all pairs join, in one role and between two, given components or not."""
+    rng = random.Random(5)
+    for trial in range(60):
+        sets = [np.unique(np.array(rng.sample(range(60), rng.randint(1, 50)), np.uint64)) for _ in range(rng.randint(2, 25))]
+        role = np.array([rng.random() < 0.4 for _ in sets], int) if trial % 2 else np.zeros(len(sets), int)
+        comp = [rng.randrange(8) if trial % 3 == 0 else -i for i in range(len(sets))]
+
+        def joined(pairs):
+            label = list(comp)
+            for a, b in pairs:
+                if label[a] != label[b]:
+                    old, new = label[a], label[b]
+                    label = [new if x == old else x for x in label]
+            return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+        def alike(a, b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            return 100 * both >= 60 * (len(sets[a]) + len(sets[b]) - both)
+
+        links = [(i, j) for i, hit in near_dedup.linked(sets, role, comp, 60) for j in hit]
+        assert all(alike(a, b) for a, b in links) and len(links) < len(sets)
+        assert joined(links) == joined([p for p in itertools.combinations(range(len(sets)), 2) if alike(*p) and (not role.any() or role[p[0]] != role[p[1]])])
 
 
 def test_large_regions_stay_whole(spark, monkeypatch):
@@ -91,28 +117,21 @@ def test_large_regions_stay_whole(spark, monkeypatch):
         docs.append(" ".join(own))
     rng.shuffle(docs)
     docs = list(enumerate(docs))
-    monkeypatch.setattr(near_dedup, "REGION", 32)
+    monkeypatch.setattr(near_dedup, "ROWS", 32)
     _, groups = brute(docs, 4, 80)
     want = {m: min(g) for g in groups.values() for m in g}
     got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 4).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_nodes_without_a_first_round_pair(spark, monkeypatch):
-    """A leader takes a row, and the only partner of that row is too short to resemble the leader."""
-    docs = []
-    for g in range(20):
-        base = [f"g{g}w{i}" for i in range(103)]
-        texts = [" ".join(base)] + [" ".join(base[:102] + [f"e{g}.{k}"]) for k in range(4)] + [" ".join(base[:83]), " ".join(base[:82])]
-        sig = near_dedup.signatures([near_dedup.shingle_set(t, 4) for t in texts])
-        if (sig[:, :3] == sig[0, :3]).all():
-            docs += texts
-    assert len(docs) >= 21
-    docs = list(enumerate(docs))
-    monkeypatch.setattr(near_dedup, "TREES", 1)
-    want = {m: min(g) for g in brute(docs, 4, 80)[1].values() for m in g}
-    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 4).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
+def test_long_texts_and_kept_columns(spark):
+    """A text of 60,000 words and its copy; a table whose columns have the operator's own names; repeated rows."""
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(1, long, "a", 1), (2, long + " end", "b", 2), (2, long + " end", "b", 2), (3, "x y z", None, None), (3, "x y z", None, None), (4, "", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __row string, __gone int")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (3, 3, True), (4, 4, True)]
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r["__row"]) for r in kept.collect()) == [(1, "a"), (3, None), (4, "")]
 
 
 def test_rows_without_ids(spark):
