@@ -18,15 +18,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a worker keeps of each kind before it starts again; bounds memory, not results.
-CACHE_ENTRIES = 400_000
+#: Entries of each kind in a worker's young generation; the last one is kept beside it.  Bounds memory, not results.
+CACHE_ENTRIES = 300_000
+#: Bytes of a match up to which its prefix table is filled by recursion.
+DEEP = 128
+#: Texts of a batch that are Python strings at a time.
+SLICE = 256
 #: Texts of up to so many characters have their parts cached; longer parts are encoded and forgotten.
 CACHED_PART = 64
 
@@ -37,15 +41,18 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _Cache(dict):
-    """key -> value by ``make`` on a miss; starts again when full."""
+    """key -> value by ``make`` on a miss; when full, it becomes the old generation, whose entries come back when asked for."""
 
     def __init__(self, make, limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -83,10 +90,37 @@ class PrefixTable:
         return out[::-1]
 
 
+def _last_token(ends, inner, pairs):
+    """The function that finds the last token of a prefix of i bytes; last holds those found so far."""
+    token_of = inner.get
+
+    def last_token(data: bytes, i: int, last: list[int]) -> int:
+        for n in ends[data[i - 4 : i] if i > 4 else data[:i]]:
+            j = i - n
+            if j > 0:
+                token = token_of(data[j:i])
+                if token is not None:
+                    before = last[j]
+                    if before < 0:
+                        before = last_token(data, j, last)
+                    if pairs[before << 20 | token]:
+                        last[i] = token
+                        return token
+            elif j == 0:
+                token = token_of(data[:i])
+                if token is not None:
+                    last[i] = token
+                    return token
+        raise ValueError("a byte has no token")
+
+    return last_token
+
+
 class ByteBpe:
     """Encoder and decoder for one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import ahocorasick
         import regex
 
         self.ranks, self.tokens = ranks, {r: t for t, r in ranks.items()}
@@ -104,8 +138,15 @@ class ByteBpe:
                 tails.setdefault(t[-4:], set()).add(len(t))
         # Lengths of the tokens that can end where these last bytes (up to four) do, long ones first.
         self.ends = _Cache(lambda e: (*sorted(tails.get(e, ()), reverse=True), *(n for n in (3, 2, 1) if n <= len(e) and e[-n:] in self.inner)))
+        # All tokens that end at each byte of a string, in one pass; a byte is a character of the automaton.
+        self.found = ahocorasick.Automaton()
+        for t, r in self.inner.items():
+            self.found.add_word(t.decode("latin-1"), (len(t) - 1, r))
+        self.found.make_automaton()
         self.pairs = _Cache(lambda k: self.beside(k >> 20, k & 0xFFFFF), 4 * CACHE_ENTRIES)
+        self._last = _last_token(self.ends, self.inner, self.pairs)
         self.packs = {r: r.to_bytes(4, "little") for r in self.tokens}
+        # Per part of a text: its packed ids, and the bytes that they decode to.
         self._match = _Cache(self._pack)
         self._first = _Cache(self._parts)
         self._after = _Cache(self._spaced)
@@ -144,61 +185,77 @@ class ByteBpe:
             else:
                 return True
 
-    def _pack(self, match: str) -> bytes:
-        """PrefixTable's steps for a match that is not kept."""
-        data = match.encode()
+    def _pack(self, match: str) -> tuple[bytes, bytes]:
+        """A match's packed ids, and the bytes that they decode to.
+
+        The prefix table of a match that is not kept.  A short one is filled from its end, so only
+        the prefixes that some token's start asks for; a long one from its start.
+        """
+        data, tokens = match.encode(), self.tokens
         whole = self.ranks.get(data)
         if whole is not None:
-            return self.packs[whole]
-        last, ranks, ends, pairs = [-1], self.inner, self.ends, self.pairs
-        for i in range(1, len(data) + 1):
-            for n in ends[data[i - 4 : i] if i > 4 else data[:i]]:
-                j = i - n
-                if j > 0:
-                    token = ranks.get(data[j:i])
-                    if token is not None and pairs[last[j] << 20 | token]:
-                        last.append(token)
-                        break
-                elif j == 0:
-                    token = ranks.get(data[:i])
-                    if token is not None:
-                        last.append(token)
-                        break
-        out, i, tokens = [], len(data), self.tokens
+            return self.packs[whole], tokens[whole]
+        i, last = len(data), [-1] * (len(data) + 1)
+        if i <= DEEP:
+            self._last(data, i, last)
+        else:
+            pairs = self.pairs
+            for end, (more, token) in self.found.iter(data.decode("latin-1")):
+                if last[end + 1] < 0:  # one token alone can be a prefix's last
+                    start = end - more
+                    if start == 0 or pairs[last[start] << 20 | token]:
+                        last[end + 1] = token
+        out = []
         while i:
-            out.append(self.packs[last[i]])
+            out.append(last[i])
             i -= len(tokens[last[i]])
-        return b"".join(out[::-1])
+        out.reverse()
+        return array("I", out).tobytes(), b"".join([tokens[t] for t in out])
 
-    def _spaced(self, part: str) -> bytes:
-        """A part between spaces, with the one before it."""
+    def _spaced(self, part: str) -> tuple[bytes, bytes] | None:
+        """A part between spaces, with the one before it; None if a space beside it has another blank beside it."""
         if part.isalpha():
             return self._pack(" " + part)
+        if not part or part[0].isspace() or part[-1].isspace():
+            return None
         if part[-1] in ",." and part[:-1].isalpha():
-            return self._pack(" " + part[:-1]) + self._match[part[-1]]
+            one, two = self._pack(" " + part[:-1]), self._match[part[-1]]
+            return one[0] + two[0], one[1] + two[1]
         return self._parts(" " + part)
 
-    def _parts(self, text: str) -> bytes:
+    def _parts(self, text: str) -> tuple[bytes, bytes]:
         match = self._match
-        return b"".join([match[m] if len(m) <= CACHED_PART else match.make(m) for m in self.split(text)])
+        return _joined([match[m] if len(m) <= CACHED_PART else self._pack(m) for m in self.split(text)])
 
-    def packed(self, text: str) -> bytes:
-        """A text's ids as little-endian unsigned 32-bit integers."""
-        if _UNEVEN(text):
-            return self._parts(text)
+    def coded(self, text: str) -> tuple[bytes, bytes]:
+        """A text's ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
         first, *rest = text.split(" ")
+        if not rest:
+            return self._parts(text)
         after = self._after
-        return b"".join([self._first[first], *[after[s] if len(s) <= CACHED_PART else after.make(s) for s in rest]])
+        if max(map(len, rest)) > CACHED_PART:
+            made = [after[s] if len(s) <= CACHED_PART else after.make(s) for s in rest]
+        else:
+            made = list(map(after.__getitem__, rest))
+        if None in made or not first or first[-1].isspace():
+            return self._parts(text)
+        return _joined([self._first[first], *made])
+
+    def packed(self, text: str) -> bytes:
+        return self.coded(text)[0]
 
     def encode(self, text: str) -> list[int]:
         return memoryview(self.packed(text)).cast("I").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
+        """The bytes that token ids stand for."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-#: Texts whose spaces do not all stand between two non-blank characters.
-_UNEVEN = re.compile(r"\A\s|\s\Z|\s\s").search
+
+def _joined(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    ids, plain = zip(*parts, strict=True) if parts else ((), ())
+    return b"".join(ids), b"".join(plain)
 
 
 class EncodedText:
@@ -291,15 +348,17 @@ def encode_column(
         names = None
         for b in batches:
             packed, plain = [], []
-            for t in b.column(at).to_pylist():
-                packed.append(bpe.packed(t or ""))
-                plain.append(bpe.decode(memoryview(packed[-1]).cast("I").tolist()) if digests else b"")
+            for i in range(0, b.num_rows, SLICE):
+                for t in b.column(at).slice(i, SLICE).to_pylist():
+                    own, back = bpe.coded(t or "")
+                    packed.append(own)
+                    plain.append(hashlib.sha256(back).hexdigest() if digests else "")
             cols = []
             if ids:
                 cols.append(pa.array([memoryview(p).cast("I").tolist() for p in packed], pa.list_(pa.int32())))
             if digests:
                 cols.append(pa.array([len(p) // 4 for p in packed], pa.int64()))
-                cols.extend(pa.array([hashlib.sha256(p).hexdigest() for p in x], pa.string()) for x in (packed, plain))
+                cols += [pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array(plain, pa.string())]
             names = names or [*b.schema.names, *(n for n, _ in extra)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=names)
 
