@@ -91,6 +91,18 @@ class Bloom:
     def to_bytes(self) -> bytes:
         return _HEADER.pack(MAGIC, VERSION, self.bits, self.hashes, self.seed) + self.words.astype("<u8").tobytes()
 
+    @staticmethod
+    def leading(data: bytes) -> int:
+        """The size of the filter that data starts with; its header is checked."""
+        if len(data) < _HEADER.size:
+            raise ValueError("bloom: too short")
+        magic, version, bits, hashes, _ = _HEADER.unpack_from(data)
+        if magic != MAGIC or version != VERSION:
+            raise ValueError("bloom: magic or version")
+        if bits <= 0 or bits % 64 or hashes <= 0 or len(data) < _HEADER.size + bits // 8:
+            raise ValueError("bloom: sizes do not agree")
+        return _HEADER.size + bits // 8
+
     @classmethod
     def from_bytes(cls, data: bytes) -> Bloom:
         if len(data) < _HEADER.size:

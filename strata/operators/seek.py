@@ -1,8 +1,9 @@
 """Ordered access: ranges, prefixes, first and last keys, seeks and neighbours.
 
 Seeks are as-of joins.  Instead of a nested loop, targets and keys are sorted together within
-buckets of the key space: one window over the union carries the last (or next) key to each target,
-and only bucket edges cross buckets, so the sort is spread over tasks.
+at most BUCKETS buckets of the key space: one window over the union carries the last (or next) key
+to each target.  Only bucket edges cross buckets, a row each, so the sort is spread over tasks; both
+use the same shuffle.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ def first_last(df: DataFrame, key: str = "key") -> DataFrame:
     return df.agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 
-def _bucket(key: str, edges: list) -> Column:
-    """The number of edges <= key: a range partition of the key space."""
-    out = F.lit(0)
-    for i, e in enumerate(edges):
-        out = F.when(F.col(key) >= F.lit(e), F.lit(i + 1)).otherwise(out)
-    return out
+#: Ranges into which the key space is cut.
+BUCKETS = 64
+
+
+def _bucket(key: str, edges: list, first: int = 0) -> Column:
+    """The number of edges <= key, by binary search: a range partition of the key space."""
+    if not edges:
+        return F.lit(first)
+    mid = len(edges) // 2
+    return F.when(F.col(key) >= F.lit(edges[mid]), _bucket(key, edges[mid + 1 :], first + mid + 1)).otherwise(_bucket(key, edges[:mid], first))
 
 
 def range_edges(df: DataFrame, key: str = "key", parts: int = 32) -> list:
@@ -47,43 +52,38 @@ def range_edges(df: DataFrame, key: str = "key", parts: int = 32) -> list:
     return [sample[len(sample) * i // parts] for i in range(1, parts)] if len(sample) >= parts else []
 
 
+def _cut(rows: DataFrame, keys: DataFrame, key: str, edges: list | None) -> DataFrame:
+    """rows (with column k) plus bucket b, dealt by it; of more edges than fit, evenly spaced ones."""
+    edges = sorted(set(range_edges(keys, key) if edges is None else edges))
+    if len(edges) >= BUCKETS:
+        edges = [edges[len(edges) * i // BUCKETS] for i in range(1, BUCKETS)]
+    return rows.withColumn("b", _bucket("k", edges)).repartition("b")
+
+
+def _beyond(cut: DataFrame, shown: Column) -> DataFrame:
+    """(b, before, after): the nearest keys in the buckets below and above; a row a bucket."""
+    ends = cut.groupBy("b").agg(F.min(shown).alias("lo"), F.max(shown).alias("hi"))
+    below, above = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1), W.orderBy("b").rowsBetween(1, W.unboundedFollowing)
+    return F.broadcast(ends.select("b", F.max("hi").over(below).alias("before"), F.min("lo").over(above).alias("after")))
+
+
 def seek(targets: DataFrame, keys: DataFrame, forward: bool = True, target: str = "target", key: str = "key", edges: list | None = None) -> DataFrame:
     """Distinct targets with ``found``: the smallest key >= target, or (not forward) the largest key <= target; else null."""
-    edges = sorted(set(range_edges(keys, key) if edges is None else edges))
     own = keys.select(F.col(key).alias("k"), F.lit(True).alias("is_key")).where("k IS NOT NULL").distinct()
     asked = targets.select(F.col(target).alias("k"), F.lit(False).alias("is_key")).where("k IS NOT NULL").distinct()
-    both = own.unionByName(asked).withColumn("b", _bucket("k", edges))
+    both = _cut(own.unionByName(asked), keys, key, edges)
     shown = F.when(F.col("is_key"), F.col("k"))
-    if forward:
-        w = W.partitionBy("b").orderBy(F.desc("k"), F.desc("is_key")).rowsBetween(W.unboundedPreceding, 0)
-        edge = F.min(shown)
-    else:
-        w = W.partitionBy("b").orderBy("k", F.desc("is_key")).rowsBetween(W.unboundedPreceding, 0)
-        edge = F.max(shown)
+    order = [F.desc("k") if forward else F.asc("k"), F.desc("is_key")]
+    w = W.partitionBy("b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     near = both.withColumn("found", F.last(shown, ignorenulls=True).over(w)).where(~F.col("is_key"))
-    # One row a bucket: what the buckets ahead (or behind) offer to targets that their own does not serve.
-    ends = {r["b"]: r["e"] for r in both.groupBy("b").agg(edge.alias("e")).where("e IS NOT NULL").collect()}
-    beyond = F.lit(None).cast(keys.schema[key].dataType)
-    for b in range(len(edges) + 1):
-        other = [ends[x] for x in ends if (x > b if forward else x < b)]
-        if other:
-            beyond = F.when(F.col("b") == b, F.lit(min(other) if forward else max(other))).otherwise(beyond)
-    return near.select(F.col("k").alias(target), F.coalesce("found", beyond).alias("found"))
+    found = F.coalesce("found", "after" if forward else "before")
+    return near.join(_beyond(both, shown), "b").select(F.col("k").alias(target), found.alias("found"))
 
 
 def neighbours(keys: DataFrame, key: str = "key", edges: list | None = None) -> DataFrame:
     """Distinct keys with ``prev_key`` and ``next_key``, null at the ends."""
-    edges = sorted(set(range_edges(keys, key) if edges is None else edges))
-    own = keys.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("b", _bucket(key, edges))
-    w = W.partitionBy("b").orderBy(key)
-    near = own.withColumn("p", F.lag(key).over(w)).withColumn("n", F.lead(key).over(w))
-    ends = {r["b"]: (r["lo"], r["hi"]) for r in own.groupBy("b").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
-    kind = keys.schema[key].dataType
-    before, after = F.lit(None).cast(kind), F.lit(None).cast(kind)
-    for b in ends:
-        lower, higher = [ends[x][1] for x in ends if x < b], [ends[x][0] for x in ends if x > b]
-        if lower:
-            before = F.when(F.col("b") == b, F.lit(max(lower))).otherwise(before)
-        if higher:
-            after = F.when(F.col("b") == b, F.lit(min(higher))).otherwise(after)
-    return near.select(key, F.coalesce("p", before).alias("prev_key"), F.coalesce("n", after).alias("next_key"))
+    own = _cut(keys.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct(), keys, key, edges)
+    w = W.partitionBy("b").orderBy("k")
+    near = own.withColumn("p", F.lag("k").over(w)).withColumn("n", F.lead("k").over(w))
+    joined = near.join(_beyond(own, F.col("k")), "b")
+    return joined.select(F.col("k").alias(key), F.coalesce("p", "before").alias("prev_key"), F.coalesce("n", "after").alias("next_key"))

@@ -21,25 +21,17 @@ AFTER = "after"
 BEFORE = "before"
 
 
-def segments(df: DataFrame, size: str, limit: int, rule: str, order: list[str], by: str | None = None, out: str = "segment") -> DataFrame:
-    """df plus its segment's number, from 0, within each stream ``by`` (one stream if None).
-
-    Rows of a stream are taken in ``order``, which must be total.
-    """
-    if rule not in (AFTER, BEFORE):
-        raise ValueError("rule is AFTER or BEFORE")
-    stream = F.col(by) if by else F.lit(0)
-    held = df.withColumn("__stream", stream)
-    held = held.repartition("__stream") if by else held.coalesce(1)
-    held = held.sortWithinPartitions("__stream", *order)
-    at, who = held.columns.index(size), held.columns.index("__stream")
+def numbered(held: DataFrame, size: str, limit: int, rule: str, out: str, who: int | None = None) -> DataFrame:
+    """held plus its segment's number, from 0, of each task's rows as they come, anew where column ``who`` changes."""
+    at = held.columns.index(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number, held_bytes = object(), 0, 0
         for b in batches:
             out_ids = []
-            for s, n in zip(b.column(who).to_pylist(), b.column(at).to_pylist(), strict=True):
-                if s != now:
+            sizes = b.column(at).to_pylist()
+            for s, n in zip(sizes if who is None else b.column(who).to_pylist(), sizes, strict=True):
+                if who is not None and s != now:
                     now, number, held_bytes = s, 0, 0
                 n = n or 0
                 if rule == BEFORE and held_bytes > 0 and held_bytes + n > limit:
@@ -50,8 +42,21 @@ def segments(df: DataFrame, size: str, limit: int, rule: str, order: list[str],
                     number, held_bytes = number + 1, 0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out_ids, pa.int64())], names=[*b.schema.names, out])
 
-    schema = T.StructType([*held.schema.fields, T.StructField(out, T.LongType())])
-    return held.mapInArrow(run, schema).drop("__stream")
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField(out, T.LongType())]))
+
+
+def segments(df: DataFrame, size: str, limit: int, rule: str, order: list[str], by: str | None = None, out: str = "segment") -> DataFrame:
+    """df plus its segment's number, from 0, within each stream ``by`` (one stream if None).
+
+    Rows of a stream are taken in ``order``, which must be total.
+    """
+    if rule not in (AFTER, BEFORE):
+        raise ValueError("rule is AFTER or BEFORE")
+    stream = F.col(by) if by else F.lit(0)
+    held = df.withColumn("__stream", stream)
+    held = held.repartition("__stream") if by else held.coalesce(1)
+    held = held.sortWithinPartitions("__stream", *order)
+    return numbered(held, size, limit, rule, out, held.columns.index("__stream")).drop("__stream")
 
 
 def offsets(df: DataFrame, size: str, segment: str, order: list[str], out: str = "offset") -> DataFrame:

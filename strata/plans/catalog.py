@@ -4,16 +4,27 @@
 * ``orders``: key o_custkey, seq o_orderkey, deleted where o_orderstatus is 'F';
 * ``documents``: key doc_id, value the text;
 * run metadata from ``supplier``: a closed key range, level and age per row.
+
+Queries kv_* write the log to a table in the shared folder, in several commits, and answer from that
+table after maintenance; each call starts a new table.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.functions import bloom, sizes
 from strata.operators import merge, metadata, seek, segment, values
+from strata.schema import Options
+from strata.sources import formats
+from strata.sources.manifest import Store
+from strata.streaming import upsert_stream
+from strata.table import KVTable
 
 SHARDS = 8
 
@@ -308,10 +319,14 @@ def value_deref(spark, d):
     return found.select(F.col("key").cast("string").alias("key"), F.md5("value").alias("value_md5"), F.octet_length("value").cast("bigint").alias("n_bytes"))
 
 
-@query(f"WITH {DOCS} SELECT count(*) AS n_blobs, CAST(0 AS BIGINT) AS n_damaged FROM dl WHERE n > 2048")
+@query(f"WITH {DOCS} SELECT count(*) AS n_blobs, count(*) FILTER (seq % 5 = 0) AS n_damaged FROM dl WHERE n > 2048")
 def integrity_check(spark, d):
-    _, blobs = values.separate(docs_log(spark, d), 2048, 1 << 20, by="shard")
-    return blobs.agg(F.count("*").alias("n_blobs"), F.count_if(F.crc32("value") != F.col("checksum")).alias("n_damaged"))
+    """Every fifth document's blob has a byte too many."""
+    log = docs_log(spark, d)
+    _, blobs = values.separate(log, 2048, 1 << 20, by="shard")
+    hurt = F.col("key").cast("string").cast("bigint") % 5 == 0
+    blobs = blobs.withColumn("value", F.when(hurt, F.concat("value", F.lit(b"!"))).otherwise(F.col("value")))
+    return blobs.agg(F.count("*").alias("n_blobs")).join(F.broadcast(values.damaged(blobs).agg(F.count("*").alias("n_damaged"))), F.lit(True))  # one row
 
 
 def _order_refs(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -330,10 +345,15 @@ def garbage_by_segment(spark, d):
     return values.garbage(blobs, live).groupBy("segment_id").agg(F.count("*").alias("n_garbage"), F.sum("n").alias("garbage_bytes"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_dangling")
+@query(
+    f"WITH {OR} SELECT CAST(seq // 1000 AS BIGINT) AS segment_id, count(*) AS n_dangling FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM ol) "
+    "WHERE rn = 1 AND NOT deleted AND (seq // 1000) % 4 = 0 GROUP BY ALL"
+)
 def dangling_refs(spark, d):
+    """Every fourth segment is lost."""
     live, blobs = _order_refs(spark, d)
-    return live.select("vref.*").join(blobs, ["segment_id", "offset"], "left_anti").agg(F.count("*").alias("n_dangling"))
+    held = blobs.where("segment_id % 4 <> 0")
+    return live.select("vref.*").join(held, ["segment_id", "offset"], "left_anti").groupBy("segment_id").agg(F.count("*").alias("n_dangling"))
 
 
 @query(f"WITH {EV} SELECT key, seq, strlen(value) > 40 AS separate FROM live")
@@ -479,11 +499,16 @@ def bloom_sizing(spark, d):
     return c.select("run", "n", bits.alias("bits"), hashes.alias("hashes"))
 
 
-@query(f"WITH {EV} SELECT count(DISTINCT key) AS n_members, count(DISTINCT key) AS n_found, TRUE AS rate_kept FROM ev")
+@query(
+    f"WITH {EV}, k AS (SELECT DISTINCT key FROM ev), m AS (SELECT key FROM k WHERE CAST(key AS INTEGER) % 2 = 0) "
+    "SELECT (SELECT count(*) FROM m) AS n_members, (SELECT count(*) FROM m) AS n_found, (SELECT count(*) FROM k) - (SELECT count(*) FROM m) AS n_others, TRUE AS rate_kept"
+)
 def bloom_probe(spark, d):
-    keys = events_log(spark, d).select("key").distinct()
-    f = bloom.build(keys, keys.count())
-    hit = bloom.probe(keys, f).agg(F.count("*").alias("n_members"), F.count_if("might_contain").alias("n_found"))
+    """Every second key is a member; the others and 20,000 strangers are found at the stated rate."""
+    keys = events_log(spark, d).select("key").distinct().withColumn("member", F.col("key").cast("int") % 2 == 0)
+    members = keys.where("member")
+    f = bloom.build(members, members.count())
+    hit = bloom.probe(keys, f).agg(F.count_if("member").alias("n_members"), F.count_if(F.col("member") & F.col("might_contain")).alias("n_found"), F.count_if(~F.col("member")).alias("n_others"))
     other = bloom.probe(spark.range(20_000).select(F.concat(F.lit("no-"), F.col("id").cast("string")).alias("key")), f)
     return hit.join(F.broadcast(other.agg((F.count_if("might_contain") <= 300 + 300).alias("rate_kept"))), F.lit(True))  # one row
 
@@ -543,3 +568,109 @@ def overwrite_profile(spark, d):
 @query(_published(768, 341_248, 11, 350_032, 128, 69_120, 67_584))
 def tombstone_half_profile(spark, d):
     return _profile(spark, True)
+
+
+# Stored tables
+
+
+def _new_table(spark, options: Options | None = None) -> KVTable:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-kv-")
+    return KVTable.open(spark, f"{base}/kv-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", options)
+
+
+def _written(spark, ops: DataFrame, options: Options | None = None, cuts: int = 3) -> KVTable:
+    """A table with ops (key, seq, deleted, value) committed in as many batches, newest seq range first: order of arrival is not that of seq."""
+    t = _new_table(spark, options)
+    for i in reversed(range(cuts)):
+        t.write(ops.where(F.pmod(F.col("seq"), F.lit(cuts)) == i))
+    return t
+
+
+def _text(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(F.col("key").cast("string").alias("key"), *more, F.col("value").cast("string").alias("value"))
+
+
+@query(f"WITH {EV} SELECT key, seq, value FROM live")
+def kv_write_compact_scan(spark, d):
+    """Three commits, compaction that keeps unsettled tombstones, and a late batch that must not win."""
+    ev = events_log(spark, d).drop("shard")
+    t = _written(spark, ev.where("seq % 7 <> 3"), Options(value_threshold=40)).compact()
+    t.write(ev.where("seq % 7 = 3")).compact()
+    return _text(t.scan(), "seq")
+
+
+@query(f"WITH {EV}, p AS (SELECT lpad(CAST(i AS VARCHAR), 8, '0') AS key FROM range(400) t(i)) SELECT key, value FROM p LEFT JOIN live USING (key)")
+def kv_multi_get(spark, d):
+    t = _written(spark, events_log(spark, d).drop("shard"), Options(value_threshold=40)).compact()
+    return _text(t.get(spark.range(400).select(_padded("id").cast("binary").alias("key"))))
+
+
+@query(f"WITH {EV}, {_TARGETS} SELECT target, (SELECT max(key) FROM live WHERE key <= target) AS found FROM tg")
+def kv_seek_le(spark, d):
+    t = _written(spark, events_log(spark, d).drop("shard")).compact()
+    found = t.seek(_targets(spark).select(F.col("target").cast("binary").alias("target")), forward=False)
+    return found.select(F.col("target").cast("string").alias("target"), F.col("found").cast("string").alias("found"))
+
+
+@query(f"WITH {EV} SELECT key, seq, value FROM live")
+def kv_gc_vacuum_rebuild(spark, d):
+    """Values go through garbage collection, old files go, and the manifest is built again from what is left."""
+    t = _written(spark, events_log(spark, d).drop("shard"), Options(value_threshold=40)).gc()
+    t.vacuum()
+    Store(spark, t.path).delete("_manifest")
+    return _text(KVTable.open(spark, t.path, t.options).rebuild_manifest().scan(), "seq")
+
+
+@query(f"WITH {EV} SELECT count(*) AS n_ops, (SELECT count(*) FROM live) AS n_live, (SELECT count(*) FROM live WHERE strlen(value) > 40) AS n_blobs, CAST(0 AS BIGINT) AS n_garbage FROM ev")
+def kv_gc_check(spark, d):
+    """What is left after garbage collection of a table whose operations are settled."""
+    ev = events_log(spark, d).drop("shard")
+    t = _written(spark, ev, Options(value_threshold=40)).compact(settled=1 << 40).gc()
+    found = t.check()
+    sizes = ev.agg(F.count("*").alias("n_ops")).select("n_ops", F.lit(t.entries().count()).cast("bigint").alias("n_live"), F.lit(t.blobs().count()).cast("bigint").alias("n_blobs"))
+    return sizes.select("*", F.lit(sum(found.values())).cast("bigint").alias("n_garbage"))
+
+
+@query(f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shard, seq DESC) AS rn FROM ev) SELECT key, value FROM r WHERE rn = 1 AND NOT deleted")
+def kv_log_replay(spark, d):
+    """Binary logs, one a shard, with torn tails, are replayed into a table."""
+    t = _new_table(spark, Options(value_threshold=40))
+    logs = f"{t.path}/logs"
+    ev = events_log(spark, d).withColumn("file", F.concat(_padded("shard"), F.lit(".wal")))
+    names = formats.write_wal(ev, logs)
+    Store(spark, logs).put("99999999.wal", [formats.encode_record(b"never", b"whole")[:-2]])
+    assert len(names) <= SHARDS
+    return _text(t.replay(logs).replay(logs).scan())
+
+
+@query(f"WITH {EV} SELECT key, seq, value FROM live")
+def kv_stream(spark, d):
+    """The log as a stream of files, a commit a micro-batch."""
+    t = _new_table(spark)
+    events_log(spark, d).drop("shard").select(F.col("key").cast("binary").alias("key"), "seq", "deleted", F.col("value").cast("binary").alias("value")).repartition(4).write.parquet(f"{t.path}/in")
+    rows = spark.readStream.schema("key binary, seq bigint, deleted boolean, value binary").option("maxFilesPerTrigger", 2).parquet(f"{t.path}/in")
+    q = upsert_stream(rows, t, f"{t.path}/stream")
+    q.awaitTermination()
+    return _text(t.refresh().scan(), "seq")
+
+
+@query("SELECT * FROM (VALUES ('L0', CAST(17 AS BIGINT), CAST(1024 AS BIGINT)), ('L1', 1, 256)) t(level, n_runs, n_entries)")
+def kv_overwrite_runs(spark, d):
+    """The published overwrite workload through a table: runs by rotation, then by compaction."""
+    t = _new_table(spark, Options(memtable_max_bytes=32_768))
+    ops = spark.range(1024).select(
+        F.lpad((F.col("id") % 256).cast("string"), 16, "k").cast("binary").alias("key"), F.col("id").alias("seq"), F.lit(False).alias("deleted"),
+        F.rpad((F.col("id") / 256).cast("int").cast("string"), 512, "v").cast("binary").alias("value"),
+    )
+    rows = [("L0", r["n_entries"]) for r in t.write(ops, rotate=True).manifest.runs] + [("L1", r["n_entries"]) for r in t.compact(settled=1024).manifest.runs]
+    return spark.createDataFrame(rows, "level string, n bigint").groupBy("level").agg(F.count("*").alias("n_runs"), F.sum("n").alias("n_entries"))
+
+
+@query(f"WITH {EV} SELECT CASE WHEN strlen(value) > 40 THEN 'blobs' ELSE 'data' END AS kind, count(*) AS n_rows FROM live GROUP BY ALL")
+def kv_footprint(spark, d):
+    """Where a settled table's live values are, by the files below it; sizes.footprint sees files of both kinds."""
+    t = _written(spark, events_log(spark, d).drop("shard"), Options(value_threshold=40)).compact(settled=1 << 40).gc()
+    t.vacuum()
+    assert {r["kind"] for r in sizes.footprint(spark, t.path).collect()} >= {"parquet", "json"}
+    place = F.when(F.col("vref").isNull(), "data").otherwise("blobs")
+    return t.entries().groupBy(place.alias("kind")).agg(F.count("*").alias("n_rows"))

@@ -32,6 +32,9 @@ BLOB = T.StructType([
     T.StructField("checksum", T.LongType()),
 ])
 
+#: A separated value as the table stores it, with the operation that it belongs to.
+STORED_BLOB = T.StructType([*BLOB.fields, T.StructField("seq", T.LongType()), T.StructField("value_len", T.LongType())])
+
 #: One run of the manifest.
 META = T.StructType([
     T.StructField("filename", T.StringType()),
@@ -45,10 +48,20 @@ META = T.StructType([
 #: Bytes that a delete counts for, that precede each log record, and that precede each run entry.
 TOMBSTONE_BYTES, RECORD_BYTES, ENTRY_BYTES, BLOCK_BYTES = 10, 12, 6, 4096
 
+#: The value that stands for a delete in a binary log, unless the caller names another.
+TOMBSTONE = b"\x00strata-x\x01"
+
 
 @dataclass(frozen=True)
 class Options:
-    """Knobs of a table; sizes in bytes."""
+    """Knobs of a table; sizes in bytes.
+
+    ``put`` and ``delete`` calls, of any number of threads, are committed in groups of up to ``batch_rows``
+    calls.  With ack "sync" a call returns once its group is committed; a group waits for others that are
+    on their way, ``write_batch_window_s`` long, and starts ``sync_interval_s`` after the last one at the
+    earliest.  With ack "async" a call returns at once, reads of this object see it, and it is committed
+    with the call that fills a group or comes ``sync_interval_s`` after its first, or by flush or close.
+    """
 
     memtable_max_bytes: int = 4 << 20
     value_threshold: int = 2 << 10

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -57,21 +58,42 @@ class Store:
         finally:
             stream.close()
 
+    def put(self, name: str, pieces: Iterable[bytes]) -> None:
+        """Writes a file anew, piece by piece."""
+        stream = self._fs.create(self._path(f"{self.path}/{name}"), True)
+        try:
+            for piece in pieces:
+                stream.write(bytearray(piece))
+        finally:
+            stream.close()
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/{name}"))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
 
+#: What a commit changes or hands on.
+STATE = ("runs", "blobs", "next_seq", "next_segment", "batches", "settled", "own_seq")
+
+
 class Manifest:
-    """One version: runs, blob files, counters."""
+    """One version: runs, blob files, counters, and what is known of the operations to come.
+
+    ``settled`` is a promise that no later operation has this seq or a lower one, so tombstones up to it
+    may go; ``own_seq`` tells that every seq so far was given by the table, in ascending order.
+    """
 
-    def __init__(self, version: int = 0, runs=(), blobs=(), next_seq: int = 1, next_segment: int = 1, batches=None):
+    def __init__(self, version: int = 0, runs=(), blobs=(), next_seq: int = 1, next_segment: int = 1, batches=None, settled: int = -(1 << 63), own_seq: bool = True):
         self.version, self.runs, self.blobs = version, list(runs), list(blobs)
         self.next_seq, self.next_segment, self.batches = next_seq, next_segment, dict(batches or {})
+        self.settled, self.own_seq = settled, own_seq
 
     def to_json(self) -> str:
         b64 = lambda b: base64.b64encode(b).decode()
         runs = [{**r, "smallest": b64(r["smallest"]), "largest": b64(r["largest"])} for r in self.runs]
-        return json.dumps({"format": 1, "version": self.version, "runs": runs, "blobs": self.blobs, "next_seq": self.next_seq, "next_segment": self.next_segment, "batches": self.batches})
+        return json.dumps({"format": 1, "version": self.version, **{k: getattr(self, k) for k in STATE}, "runs": runs})
 
     @classmethod
     def from_json(cls, text: str) -> Manifest:
@@ -79,7 +101,7 @@ class Manifest:
         if d.get("format") != 1:
             raise ValueError("manifest: unsupported format")
         runs = [{**r, "smallest": base64.b64decode(r["smallest"]), "largest": base64.b64decode(r["largest"])} for r in d["runs"]]
-        return cls(d["version"], runs, d["blobs"], d["next_seq"], d["next_segment"], d["batches"])
+        return cls(d["version"], **{k: d[k] for k in STATE if k in d} | {"runs": runs})
 
 
 def versions(store: Store) -> list[int]:
@@ -97,7 +119,7 @@ def load(store: Store, version: int | None = None) -> Manifest:
 
 
 def commit(store: Store, base: Manifest, **changes) -> Manifest:
-    new = Manifest(base.version + 1, **{k: changes.get(k, getattr(base, k)) for k in ("runs", "blobs", "next_seq", "next_segment", "batches")})
+    new = Manifest(base.version + 1, **{k: changes.get(k, getattr(base, k)) for k in STATE})
     store.create(f"_manifest/v{new.version:010d}.json", new.to_json())
     return new
 
@@ -106,10 +128,23 @@ def run_metadata(spark: SparkSession, files: list[str], level: int, created_at:
     """Bounds and sizes of run files, one task a file; reads the key column alone."""
     if not files:
         return []
-    df: DataFrame = spark.read.parquet(*files).select("key", "seq", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
-    rows = df.groupBy("f").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("s").alias("s"), F.count("*").alias("n"), F.max("seq").alias("q")).collect()
+    df: DataFrame = spark.read.schema("key binary, seq bigint").parquet(*files).select("key", "seq", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
+    rows = df.groupBy("f").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("s").alias("s"), F.count("*").alias("n"), F.max("seq").alias("q"), F.min("seq").alias("p")).collect()
     out = [
-        {"filename": f"{root}/{r.f.rsplit('/', 1)[1]}", "level": level, "smallest": bytes(r.lo), "largest": bytes(r.hi), "size_bytes": r.s, "created_at": created_at, "n_entries": r.n, "max_seq": r.q}
+        {
+            "filename": root + "/" + r.f.rsplit(f"/{root}/", 1)[1], "level": level, "smallest": bytes(r.lo), "largest": bytes(r.hi), "size_bytes": r.s,
+            "created_at": created_at, "n_entries": r.n, "max_seq": r.q, "min_seq": r.p,
+        }
         for r in rows
-    ]
-    return sorted(out, key=lambda m: m["smallest"])
+    ]
+    return sorted(out, key=lambda m: (m["smallest"], m["filename"]))
+
+
+def blob_metadata(spark: SparkSession, files: list[tuple[str, int]], path: str, root: str) -> list[dict]:
+    """Sizes and segment bounds of blob files (name below path, size); reads the segment column alone."""
+    if not files:
+        return []
+    held = spark.read.schema("segment_id bigint").parquet(*[f"{path}/{n}" for n, _ in files]).select("segment_id", F.col("_metadata.file_path").alias("f"))
+    rows = held.groupBy("f").agg(F.min("segment_id").alias("lo"), F.max("segment_id").alias("hi")).collect()
+    bounds = {root + "/" + r.f.rsplit(f"/{root}/", 1)[1]: (r.lo, r.hi) for r in rows}
+    return [{"filename": n, "size_bytes": s, "lo": bounds[n][0], "hi": bounds[n][1]} for n, s in files if n in bounds]

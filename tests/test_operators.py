@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from strata.functions import bloom, encoding
 from strata.operators import metadata, seek, segment, values
@@ -70,8 +71,10 @@ def test_binary_formats(spark, tmp_path):
     assert sorted(bytes(r.first_key) for r in formats.read_run_index(spark, str(tmp_path)).collect()) == [b"a", b"c", b"e"]
     with pytest.raises(ValueError, match="block"):
         formats.encode_run([(b"a", b"x" * 4096)])
-    with pytest.raises(formats.Damaged):
-        formats.run_index(b"x" * 20)
+    made = formats.encode_run(run)
+    for bad in (b"x" * 20, b"\0" * 4 + made[4:], made[:5] + (1 << 40).to_bytes(8, "little") + made[13:], made[:-13] + (10).to_bytes(8, "little") + made[-5:], made[:-1] + b"\x07"):
+        with pytest.raises(formats.Damaged):
+            formats.run_index(bad)
     m = [{"filename": "9.sst", "level": 0, "smallest": b"a", "largest": b"e", "size_bytes": 1, "created_at": 9}]
     (tmp_path / "MANIFEST").write_bytes(formats.encode_manifest(m))
     assert formats.read_manifest(spark, str(tmp_path / "MANIFEST")).first().asDict() == {**m[0], "smallest": bytearray(b"a"), "largest": bytearray(b"e")}
@@ -92,3 +95,46 @@ def test_reference_codec_and_integrity(spark):
     assert values.damaged(blobs).count() == 1
     logs = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, True)], "f string, pos int, ok boolean")
     assert sorted((r.f, r.pos) for r in values.valid_prefix(logs, "f").collect()) == [("a", 1), ("b", 1)]
+
+
+def test_only_the_newest_segment_may_be_torn(spark, tmp_path):
+    blobs = spark.createDataFrame([(n, o, b"k", bytes([n]) * 30) for n in (3, 4) for o in (0, 43)], "segment_id bigint, offset bigint, key binary, value binary")
+    names = formats.write_value_log(blobs, str(tmp_path))
+    assert sorted(names) == [f"{n:020d}.vlog" for n in (3, 4)]
+    back = formats.read_value_log(spark, str(tmp_path))
+    assert sorted((r.segment_id, r.offset, bytes(r.value)) for r in back.collect()) == sorted((r.segment_id, r.offset, bytes(r.value)) for r in blobs.collect())
+    sealed, newest = sorted(tmp_path / n for n in names)
+    for f in tmp_path.glob(".*.crc"):  # the local file system's own checksums
+        f.unlink()
+    newest.write_bytes(newest.read_bytes()[:-2])
+    assert formats.read_value_log(spark, str(tmp_path)).count() == 3
+    sealed.write_bytes(sealed.read_bytes()[:-2])
+    with pytest.raises(Exception, match="sealed"):
+        formats.read_value_log(spark, str(tmp_path)).count()
+
+
+def test_runs_are_written_and_read_back(spark, tmp_path):
+    rows = [("1.sst", b"k%03d" % i, b"v" * i) for i in range(100)] + [("2.sst", b"a", b"")]
+    entries = spark.createDataFrame(rows, "file string, key binary, value binary").repartition(4)
+    assert sorted(formats.write_runs(entries, str(tmp_path))) == ["1.sst", "2.sst"]
+    assert sorted((r.path[-5:], bytes(r.key), bytes(r.value)) for r in formats.read_runs(spark, str(tmp_path)).collect()) == rows
+
+
+def test_pack_and_hash_vectors(spark):
+    row = spark.range(1).select(encoding.pack(F.lit(2**31 - 1), F.lit(2**32 - 1)).alias("p")).select("p", *encoding.unpack("p")).first()
+    assert tuple(row) == ((2**31 - 1) << 32 | 2**32 - 1, 2**31 - 1, 2**32 - 1)
+    # Published test vectors of the hash: the empty input with seed 0, and with the first 64-bit prime seed of its test suite.
+    own = bloom.Bloom(64, 1)._hashes([b""])
+    assert own[0] == 0x2D06800538D394C2
+    assert bloom.Bloom(64, 1, seed=0x9E3779B185EBCA8D)._hashes([b""])[0] == 0xA8A6B918B2F0364A
+
+
+def test_many_edges_and_empty_buckets(spark):
+    keys = spark.createDataFrame([(f"{i:05d}",) for i in range(0, 3000, 7)], "key string")
+    t = spark.createDataFrame([(f"{i:05d}",) for i in range(0, 3100, 13)], "target string")
+    edges = [f"{i:05d}" for i in range(0, 5000)]
+    held = [f"{i:05d}" for i in range(0, 3000, 7)]
+    for forward in (True, False):
+        for r in seek.seek(t, keys, forward, edges=edges).collect():
+            near = [k for k in held if (k >= r.target if forward else k <= r.target)]
+            assert r.found == ((min if forward else max)(near) if near else None)
