@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 import math
+import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -101,16 +104,28 @@ def test_common_phrases_and_headings_stay(spark):
     assert {r.page_id: r.text for r in rows} == {i: f"{'Background' if i % 4 == 0 else f'Part {i}'}\nPage{i} tells, {quote}, of item{i}." for i in range(40)}
 
 
+def test_suffix_array_against_sorting():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 40, 200):
+        t = [rng.choice((0, 0, 0, 1)) for _ in range(n)] + [-1]
+        order, common = html_text.suffix_array(np.array(t))
+        want = sorted(range(n + 1), key=lambda i: t[i:])
+        assert order.tolist() == want
+        assert common.tolist() == [0] + [next(k for k in range(n + 2) if t[a + k : a + k + 1] != t[b + k : b + k + 1]) for a, b in itertools.pairwise(want)]
+
+
 def test_suffix_runs_against_brute_force():
     rng = random.Random(3)
-    pages = [[[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(2)] for _ in range(6)]
-    got = html_text.boilerplate(pages, 4)
+    pages = [[[rng.choice("abc") for _ in range(rng.randint(1, 30))] for _ in range(2)] for _ in range(6)] + [[]]
+    streams = html_text.Streams(pages, 4)
+    runs = streams.runs(list(range(len(pages))))
+    got = streams.marks({h for h, short, lo, hi, _ in runs if not short and lo < hi}, {h for h, short, _, _, n in runs if short and n >= 2})
 
-    def runs(page):
+    def held(page):
         return {tuple(b[k : k + 4]) for b in page for k in range(len(b) - 3)} | {tuple(b) for b in page if len(b) < 4}
 
     for i, page in enumerate(pages):
-        others = set().union(*(runs(o) for o in pages if o != page))
+        others = set().union(*(held(o) for j, o in enumerate(pages) if j != i))
         for block, marks in zip(page, got[i], strict=True):
             want = np.zeros(len(block), bool)
             for a in range(max(len(block) - 3, 0)):
@@ -118,3 +133,27 @@ def test_suffix_runs_against_brute_force():
             if len(block) < 4 and tuple(block) in others:
                 want[:] = True
             assert (marks == want).all()
+
+
+def test_parts_of_a_host_agree_with_the_whole(spark, monkeypatch):
+    """Real pages without their article elements, in parts of a few pages: as the whole host at once, and not without the runs."""
+    folder = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("test tables are not there")
+    foot = " ".join(f"legal{i}" for i in range(50))
+    pages = spark.read.parquet(folder).collect()
+    bare = [re.sub("</?article>|</?footer>|</?nav>", "", p.html or "").replace("</body>", f"<p>{foot if i % 3 else ''}</p></body>") for i, p in enumerate(pages)]
+    df = spark.createDataFrame([(i, "https://www.One.example/x", h, "h") for i, h in enumerate(bare)], "page_id int, url string, html string, HOST string")
+    monkeypatch.setattr(html_text, "PART_TOKENS", 2000)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    want = dict(enumerate(html_text.main_texts([html_text.blocks(h) for h in bare])))
+    assert got == want
+    plain = ["\n".join(t for t, place in html_text.blocks(h) if place) for h in bare]
+    assert sum(want[i] != plain[i] for i in want) >= len(bare) // 2 and not any("legal7" in t for t in want.values())
+
+
+def test_very_long_page_and_names(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "https://l.example", f"<p>{long}</p>", "a", 1), (2, "https://l.example", f"<p>{long} end</p>", "b", 2), (3, "https://l.example", f"<article>{long}</article>", "c", 3)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, own string, part int")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {1: "", 2: "end", 3: long}
