@@ -50,8 +50,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; each result is written to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = spark._jvm.org.apache.hadoop.fs.Path
     place = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{i}")
         docs = spark.read.parquet(f"{place}/{i}")
+        if i:  # what the stage before left has been used up
+            old = path(f"{place}/{i - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
