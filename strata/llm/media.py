@@ -10,7 +10,8 @@ Frames of many rows are coded side by side in numpy; a row costs time in proport
 and a group of at most GROUP frames bounds the memory.
 
 Defined results: null is the empty payload; payloads are padded with zero bytes to a positive
-multiple of 64, so an empty text is one block of 64; equal texts give equal bytes.
+multiple of 64, so an empty text is one block of 64; equal texts give equal bytes; other columns
+pass through, and a new column whose name a table has already gets underscores.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import table
+from strata.llm.common import fresh, table
 
 BLOCK, PARTITION, RATE, UNIT = 1024, 256, 8000, 64
 #: Frames coded side by side.
@@ -466,7 +467,7 @@ def _fields(df: DataFrame) -> str:
 
 def to_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """df plus its texts' padded bytes as FLAC streams."""
-    at = df.columns.index(text)
+    at, out = df.columns.index(text), fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -479,7 +480,7 @@ def to_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame
 
 def from_media(df: DataFrame, media: str = "media", out: str = "payload") -> DataFrame:
     """df plus the bytes its streams hold; null stays null."""
-    at = df.columns.index(media)
+    at, out = df.columns.index(media), fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -491,13 +492,29 @@ def from_media(df: DataFrame, media: str = "media", out: str = "payload") -> Dat
     return df.mapInArrow(run, f"{_fields(df)}, `{out}` binary")
 
 
-def pcm_blocks(df: DataFrame, doc_id: str = "doc_id", payload: str = "payload", samples: int = 4096) -> DataFrame:
-    """(doc_id, block, sample_offset, n_samples, pcm): read-back payloads as PCM blocks that a sample offset finds."""
-    n = F.octet_length(F.col(payload))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / samples).cast("int") - 1, F.lit(0))))
-    rows = df.where(F.col(payload).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(payload).alias("p"), at.alias("block"))
-    pcm = F.col("p").substr(F.col("block") * samples + 1, F.lit(samples))
-    return rows.select("doc_id", "block", (F.col("block").cast("bigint") * samples).alias("sample_offset"), F.octet_length(pcm).alias("n_samples"), pcm.alias("pcm"))
+#: Samples of a PCM block.
+PCM = 4096
+
+
+def blocks_of(payload: bytes, samples: int = PCM) -> list[tuple[int, bytes]]:
+    """(sample offset, PCM) of a payload's blocks; block n starts at sample n * samples."""
+    return [(at, payload[at : at + samples]) for at in range(0, len(payload), samples)]
+
+
+def pcm_blocks(df: DataFrame, doc_id: str = "doc_id", media: str = "media", samples: int = PCM) -> DataFrame:
+    """(doc_id, block, sample_offset, n_samples, pcm): what streams hold, as PCM blocks that a sample offset finds."""
+    names, i, k = ["doc_id", "block", "sample_offset", "n_samples", "pcm"], df.columns.index(doc_id), df.columns.index(media)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, 100):
+            ids, streams = b.column(i), b.column(k).to_pylist()
+            held = [n for n, s in enumerate(streams) if s is not None]
+            found = iter([p for g in _groups([streams[n] for n in held]) for p in decode_many(g)])
+            rows = [(n, at, pcm) for n, p in zip(held, found, strict=True) for at, pcm in blocks_of(p, samples)]
+            cols = [ids.take(pa.array([n for n, _, _ in rows], pa.int64())), pa.array([at // samples for _, at, _ in rows], pa.int32()), pa.array([at for _, at, _ in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(p) for _, _, p in rows], pa.int32()), pa.array([p for _, _, p in rows], pa.binary())], names=names)
+
+    return df.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, block int, sample_offset bigint, n_samples int, pcm binary")
 
 
 def feature(payload: bytes) -> str:
@@ -509,18 +526,20 @@ def feature(payload: bytes) -> str:
 
 
 def digests(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """doc_id and the digests of each stored stream and of what is read back from it."""
+    """doc_id and the digests of each stored stream and of what is read back from it, as PCM blocks in order of their offsets."""
     i, j, k = df.columns.index("doc_id"), df.columns.index("n_bytes"), df.columns.index(media)
-    fields = [("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
+    fields = [("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("pcm_blocks", "bigint")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             streams = b.column(k).to_pylist()
-            plain = [p for g in _groups(streams) for p in decode_many(g)]
+            blocks = [blocks_of(p) for g in _groups(streams) for p in decode_many(g)]
+            plain = [b"".join(p for _, p in sorted(x)) for x in blocks]
             cols = [
                 pa.array([len(p) for p in plain], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in plain]),
                 pa.array([zlib.crc32(p[-64:]) for p in plain], pa.int64()), pa.array([len(s) for s in streams], pa.int64()),
                 pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.array([feature(p) for p in plain]),
+                pa.array([len(x) for x in blocks], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays([b.column(i), b.column(j), *cols], names=["doc_id", "n_bytes", *(n for n, _ in fields)])
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import BLANKS, whole
+from strata.llm.common import BLANKS, fresh, whole
 
 #: Frequent function words of the supported languages, lower case.
 STOP_WORDS = (
@@ -90,28 +90,29 @@ def _repeated_words(window: Column) -> Column:
     )
 
 
-def quality_metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with one struct column ``quality`` of the counts and ratios of each row's whole text."""
+def quality_metrics(df: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
+    """df with one struct column more (``quality``) of the counts and ratios of each row's whole text."""
+    t0, w0, g0, l0, c0 = (fresh(df, x) for x in ("__t", "__w", "__g", "__l", "__c"))
     t = whole(F.col(f"`{text}`"))
     pieces = F.array_remove(F.split(t, f"[{BLANKS}]+"), "")
-    out = df.withColumn("__t", t).withColumn("__w", pieces)
+    held = df.withColumn(t0, t).withColumn(w0, pieces)
     # Guards keep the arrays from being computed once per metric: each stage refers to the last one's columns.
-    out = out.withColumn("__g", _window_starts(F.col("__w")))
-    lines = F.filter(F.split(F.col("__t"), "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
-    out = out.withColumn("__l", lines).withColumn(
-        "__c",
+    held = held.withColumn(g0, _window_starts(F.col(w0)))
+    lines = F.filter(F.split(F.col(t0), "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
+    held = held.withColumn(l0, lines).withColumn(
+        c0,
         F.struct(
-            F.size("__w").cast("bigint").alias("n_words"),
-            F.length(F.array_join("__w", "")).cast("bigint").alias("word_chars"),
-            F.length(F.regexp_replace("__t", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
-            (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint").alias("n_dup_lines"),
-            _repeated_words(F.col("__g")).alias("n_repeat_words"),
-            F.length(F.regexp_replace("__t", "[^!]+", "")).cast("bigint").alias("n_bangs"),
-            F.size("__l").cast("bigint").alias("n_lines"),
-            F.size(F.filter("__w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("bigint").alias("n_stop_words"),
+            F.size(w0).cast("bigint").alias("n_words"),
+            F.length(F.array_join(w0, "")).cast("bigint").alias("word_chars"),
+            F.length(F.regexp_replace(t0, "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+            (F.size(l0) - F.size(F.array_distinct(l0))).cast("bigint").alias("n_dup_lines"),
+            _repeated_words(F.col(g0)).alias("n_repeat_words"),
+            F.length(F.regexp_replace(t0, "[^!]+", "")).cast("bigint").alias("n_bangs"),
+            F.size(l0).cast("bigint").alias("n_lines"),
+            F.size(F.filter(w0, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("bigint").alias("n_stop_words"),
         ),
     )
-    c, per = F.col("__c"), lambda a, b: F.col(f"__c.{a}") / F.greatest(F.col(f"__c.{b}"), F.lit(1))
+    c, per = F.col(c0), lambda a, b: F.col(f"{c0}.{a}") / F.greatest(F.col(f"{c0}.{b}"), F.lit(1))
     quality = F.struct(
         c["n_words"].alias("n_words"),
         c["word_chars"].alias("word_chars"),
@@ -126,7 +127,7 @@ def quality_metrics(df: DataFrame, text: str = "text") -> DataFrame:
         per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
     )
     # Exploding one struct keeps later filters on it above this point; pushed below, each would compute all of it again.
-    return out.withColumn("quality", F.explode(F.array(quality))).drop("__t", "__w", "__g", "__l", "__c")
+    return held.withColumn(out, F.explode(F.array(quality))).drop(t0, w0, g0, l0, c0)
 
 
 def verdict(rules: Sequence[Rule] = RULES, quality: str = "quality") -> Column:
@@ -144,9 +145,10 @@ def verdict(rules: Sequence[Rule] = RULES, quality: str = "quality") -> Column:
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """df plus ``quality`` (metrics), ``broken`` (names of failed rules) and ``keep``."""
-    out = quality_metrics(df, text).withColumn("broken", verdict(rules))
-    return out.withColumn("keep", F.size("broken") == 0)
+    """df plus ``quality`` (metrics), ``broken`` (names of failed rules) and ``keep``, which come last; a name that df has gets underscores."""
+    quality, broken, keep = (fresh(df, x) for x in ("quality", "broken", "keep"))
+    out = quality_metrics(df, text, quality).withColumn(broken, verdict(rules, quality))
+    return out.withColumn(keep, F.size(broken) == 0)
 
 
 def query(spark, sf_dir):

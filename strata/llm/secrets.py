@@ -13,7 +13,8 @@ candidates while they stay under the session's threshold and splits hot keys (a
 of the rows share) where they do not.
 
 Defined results: null is the empty text (no spans); repeated rows give repeated results; spans are
-code points, end exclusive, ordered by start, then by the rules' order.
+code points, end exclusive, ordered by start, then by the rules' order; other columns pass through,
+and new names avoid theirs.
 """
 
 from __future__ import annotations
@@ -45,10 +46,10 @@ RULES: tuple[Rule, ...] = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]{0,30}PRIVATE KEY-----|[\s\S]*)"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge_token", r"gh[opusr]_[A-Za-z0-9]{36,}"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^/\s:@]{1,64}:[^/\s:@]{1,64}@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^/\s:@]+:[^/\s:@]+@"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}"),
 )
 
@@ -204,7 +205,8 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", out: str = "secrets") -> DataFrame:
-    """df plus ``secrets``: array<struct<start, order, end, kind>> by start, then by the rules' order."""
+    """df plus ``secrets``: array<struct<start, order, end, kind>> by start, then by the rules' order; where df has that name, it gets underscores."""
+    out = fresh(df, out)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted(set().union(*map(_trigrams, queries.values())))
     key = fresh(df, "__key")

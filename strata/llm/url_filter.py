@@ -24,25 +24,49 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import beside, cut, fresh, table
 
-#: The production list: (kind, key, action, day).
+#: The pages table has no fetch time: page n counts as fetched n modulo 730 days after this day.
+FIRST_DAY, DAYS = "2023-01-01", 730
+#: Words on the list, dated: (kind, key, action, day).  Hosts come from ``host_list``.
 ENTRIES: tuple[tuple[str, str, str, str], ...] = (
-    ("domain", "casino-win.example.com", "add", "2023-01-15"),
-    ("domain", "casino-win.example.com", "remove", "2023-07-01"),
-    ("domain", "casino-win.example.com", "add", "2023-11-20"),
-    ("domain", "free-bets.example.com", "add", "2023-03-01"),
-    ("domain", "cheap-pills.example.com", "add", "2022-06-30"),
-    ("domain", "cheap-pills.example.com", "remove", "2024-02-01"),
     ("word", "casino", "add", "2023-05-05"),
     ("word", "casino", "remove", "2023-08-15"),
     ("word", "bets", "add", "2024-01-01"),
     ("word", "pills", "add", "2023-09-09"),
     ("word", "adult", "add", "2022-01-01"),
-    ("domain", "spam.example.net", "add", "2022-01-01"),
+    ("word", "blog", "add", "2024-06-01"),
+    ("word", "blog", "remove", "2024-06-08"),
 )
 
 
 def entries(spark: SparkSession, rows=ENTRIES) -> DataFrame:
-    return spark.createDataFrame(list(rows), "kind string, key string, action string, day string").withColumn("day", F.to_date("day"))
+    """A list (kind, key, action, day) of literal rows."""
+    text = lambda v: F.lit(v).cast("string")
+    made = [F.struct(text(k).alias("kind"), text(v).alias("key"), text(a).alias("action"), F.to_date(text(d)).alias("day")) for k, v, a, d in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """A list kept as a Parquet table of kind, key, action and day."""
+    return spark.read.parquet(path).select("kind", "key", "action", F.to_date("day").alias("day"))
+
+
+def host_list(urls: DataFrame, url: str = "url") -> DataFrame:
+    """A dated list for the hosts of urls, as large as their number: the host's MD5 says whether it is listed (3 of 16), when, for
+    how long, and if again.  It stands for a feed where there is none."""
+    hosts = urls.select(host_of(F.col(f"`{url}`")).alias("key")).where("key <> ''").distinct().withColumn("m", F.md5("key"))
+
+    def number(at: int, n: int) -> Column:
+        return F.conv(F.substring("m", at, n), 16, 10).cast("int")
+
+    day = F.date_add(F.to_date(F.lit(FIRST_DAY)), F.pmod(number(2, 4), F.lit(DAYS)).cast("int"))
+    start, length, back = day, number(6, 2) + 1, number(8, 2) + 1
+    dated = [
+        (F.lit(True), "add", start),
+        (number(10, 1) < 12, "remove", F.date_add(start, length)),
+        (number(10, 1) < 4, "add", F.date_add(start, length + back)),
+    ]
+    rows = F.array(*[F.when(c, F.struct(F.lit("domain").alias("kind"), F.col("key"), F.lit(a).alias("action"), d.alias("day"))) for c, a, d in dated])
+    return hosts.where(number(1, 1) < 3).select(F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 
 def intervals(listed: DataFrame) -> DataFrame:
@@ -75,28 +99,32 @@ def screen(captures: DataFrame, listed: DataFrame, url: str = "url", fetched: st
     keys = asked.select("h", "t", F.explode(keys_of(F.col("h"))).alias("k")).select("h", "t", "k.kind", "k.key")
     active = beside(keys, cut(intervals(listed)), ["kind", "key"]).where("start <= t AND (until IS NULL OR t < until)")
     answers = cut(active.groupBy("h", "t").agg(F.min(F.concat_ws(":", "kind", "key")).alias("rule")))
-    rule, blocked = fresh(captures, "rule"), fresh(captures, "blocked")
-    answers = answers.select(F.col("h").alias("__h"), F.col("t").alias("__t"), F.col("rule").alias(rule))
-    joined = beside(rows, answers, (rows[host] == F.col("__h")) & (rows[fetched] == F.col("__t")), "left")
-    return joined.drop("__h", "__t").withColumn(blocked, F.col(rule).isNotNull())
-
-
-#: The pages table has no fetch time: page n counts as fetched n modulo 730 days after this day.
-FIRST_DAY, DAYS = "2023-01-01", 730
+    rule, blocked, h, t = (fresh(rows, x) for x in ("rule", "blocked", "__h", "__t"))
+    answers = answers.select(F.col("h").alias(h), F.col("t").alias(t), F.col("rule").alias(rule))
+    joined = beside(rows, answers, (rows[host] == F.col(h)) & (rows[fetched] == F.col(t)), "left")
+    return joined.drop(h, t).withColumn(blocked, F.col(rule).isNotNull())
 
 
 def query(spark, sf_dir):
-    """op3: the whole of pages against the production list."""
+    """op3: the whole of pages against the list of words and of the pages' own hosts."""
     day = F.date_add(F.to_date(F.lit(FIRST_DAY)), F.pmod("page_id", F.lit(DAYS)).cast("int"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
-    return screen(pages, entries(spark)).select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "host", "blocked", "rule")
+    listed = entries(spark).unionByName(host_list(pages))
+    return screen(pages, listed).select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "host", "blocked", "rule")
 
 
 def oracle_sql() -> str:
     rows = ", ".join(f"('{k}', '{v}', '{a}', DATE '{d}')" for k, v, a, d in ENTRIES)
     return f"""
-WITH e(kind, key, action, day) AS (VALUES {rows}),
-i AS (SELECT kind, key, action, day AS start, lead(day) OVER (PARTITION BY kind, key ORDER BY day) AS until FROM e),
+WITH h AS (
+  SELECT *, md5(key) AS m FROM (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS key FROM pages) WHERE key <> ''
+), l AS (
+  SELECT key, CAST('0x' || m[10] AS INTEGER) AS again, CAST('0x' || m[6:7] AS INTEGER) + 1 AS days, CAST('0x' || m[8:9] AS INTEGER) + 1 AS back,
+    DATE '{FIRST_DAY}' + CAST('0x' || m[2:5] AS INTEGER) % {DAYS} AS day FROM h WHERE CAST('0x' || m[1] AS INTEGER) < 3
+), e(kind, key, action, day) AS (
+  VALUES {rows} UNION ALL SELECT 'domain', key, 'add', day FROM l UNION ALL SELECT 'domain', key, 'remove', day + days FROM l WHERE again < 12
+  UNION ALL SELECT 'domain', key, 'add', day + days + back FROM l WHERE again < 4
+), i AS (SELECT kind, key, action, day AS start, lead(day) OVER (PARTITION BY kind, key ORDER BY day) AS until FROM e),
 p AS (
   SELECT row_number() OVER () AS rid, page_id, url, CAST(DATE '{FIRST_DAY}' + CAST(page_id % {DAYS} AS INTEGER) AS DATE) AS fetched,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages

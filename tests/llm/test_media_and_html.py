@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -62,6 +63,25 @@ def test_media_columns(spark):
     assert hashlib.sha256(bytes(rows[0].payload)).hexdigest() == hashlib.sha256(bytes(64)).hexdigest()
 
 
+def test_digests_against_the_libraries(spark):
+    texts = [None, "", "hello", "é" * 5000, "the cat " * 40_000, "hello"]
+    df = spark.createDataFrame([(i, t, "m", "p") for i, t in enumerate(texts)], "doc_id int, text string, media string, payload string")
+    stored = media.to_media(df)
+    assert stored.columns == ["doc_id", "text", "media", "payload", "media_"]
+    streams = {r.doc_id: bytes(r["media_"]) for r in stored.collect()}
+    held = stored.selectExpr("doc_id", "CAST(coalesce(octet_length(text), 0) AS BIGINT) AS n_bytes", "media_ AS media")
+    rows = {r.doc_id: r for r in media.digests(held).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        data += bytes(-len(data) % 64 or (0 if data else 64))
+        x = np.frombuffer(data, np.uint8).astype(int) - 128
+        level = int(np.abs(x).sum()) * 1000 // len(x)
+        want = f"samples={len(x)};peak={np.abs(x).max()};level={level};crossings={sum((a < 0) != (b < 0) for a, b in itertools.pairwise(x.tolist()))}"
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature, r.pcm_blocks) == (len(streams[i]), hashlib.sha256(streams[i]).hexdigest(), want, -(-len(data) // media.PCM))
+
+
 def text_of(html):
     return html_text.main_texts([html_text.blocks(html)])[0]
 
