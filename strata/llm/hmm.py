@@ -1,17 +1,20 @@
 """A hidden Markov language model: Baum-Welch counts from all partitions, exact scaled forward scores.
 
-Words fall into CLASSES classes: the most frequent ones each have their own, the others share one
+Words fall into CLASSES classes: the OWN most frequent ones each have their own, the others share one
 by their last three bytes.  The model emits a class in each latent state, and a word within its
 class by its training count plus one (an unseen word as if it were one more word of its class).
 
 1. Counts of every training token, summed before they are shuffled (they grow with the input).
 2. One pass writes each text's class sequence and the words outside the FREQUENT most frequent.
-3. Baum-Welch: each pass adds expected counts over all training tokens, in segments of SEGMENT
-   tokens; a task sends STATES x CLASSES sums at most, and their total is fixed in size.
+3. Baum-Welch: each pass adds expected counts over all training tokens, by the scaled forward and
+   backward recursions over whole sequences, many side by side; a task sends STATES x CLASSES sums
+   at most, and their total is fixed in size.
 4. Whole sequences are scored by the scaled forward recursion; counts of infrequent words come by
    a join on the word, whose hot keys adaptive execution splits, and are summed by row.
 
-What is broadcast is bounded: FREQUENT words of up to WORD_BYTES bytes each, and the model.
+What is sent to the driver and broadcast is bounded, whatever the input and its partitions: a
+histogram of the counts finds the least count that at most FREQUENT words reach, and only those
+words, of up to WORD_BYTES bytes each, and the model's sums are collected.
 
 Defined results: null is the empty text, which has the end token alone; rows with a null id are
 learnt from; repeated rows are counted and scored each; without training rows every token is
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import cut, table
 
-STATES, PASSES, SEGMENT = 6, 6, 64
+STATES, PASSES = 6, 6
+#: Tokens whose forward probabilities a task holds at a time (a longer sequence is held alone), and tokens from which a
+#: sequence waits for others of its kind.
+HELD, LONG = 600_000, 4096
 OWN, SHARED = 2048, 2048
 CLASSES = OWN + SHARED
 FREQUENT, WORD_BYTES = 131_072, 64
@@ -103,10 +109,27 @@ class _Codes(dict):
         return value
 
 
+#: Steps of the histogram of counts by their binary logarithm.
+STEPS = 64
+
+
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, c) of the most frequent words, by c and word: as many whole steps of the counts' histogram as hold at most ``most`` words."""
+    own = counts.where((F.octet_length("word") <= WORD_BYTES) & (F.col("word") != F.lit(END)))
+    own = own.withColumn("step", F.floor(F.log2("c") * STEPS))
+    held, least = 0, None
+    for step, n in sorted(own.groupBy("step").agg(F.count("*")).collect(), reverse=True):  # 64 * STEPS rows at most
+        if held + n > most:
+            break
+        held, least = held + n, step
+    if least is None:
+        return []
+    return sorted(((bytes(w), c) for w, c in own.where(F.col("step") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    own = counts.where((F.octet_length("word") <= WORD_BYTES) & (F.col("word") != F.lit(END)))
-    top = [(bytes(w), c) for w, c in own.orderBy(F.desc("c"), "word").limit(FREQUENT - 1).collect()]
+    top = frequent_words(counts, FREQUENT - 1)
     end = counts.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
     kind = F.lit(OWN) + F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(SHARED))
     shared = {int(k): [n, v] for k, n, v in counts.groupBy(kind.alias("k")).agg(F.sum("c"), F.count("*")).collect()}
@@ -122,7 +145,6 @@ class Model:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.start = np.full(STATES, 1 / STATES)
-        self.mean = self.start
         self.step = np.full((STATES, STATES), 0.05 / (STATES - 1)) + np.eye(STATES) * (0.95 - 0.05 / (STATES - 1))
         self.emit = rng.uniform(0.5, 1.5, (CLASSES, STATES))
         self.emit /= self.emit.sum(0)
@@ -136,46 +158,50 @@ class Model:
         share = (emits.sum(1) + 1) / (emits.sum() + CLASSES)  # a class in no state keeps a share by its own count
         self.emit = emits + 50 * share[:, None]
         self.emit /= self.emit.sum(0)
-        self.mean = (emits.sum(0) + 1) / (emits.sum() + STATES)
 
 
 SUMS = STATES + STATES**2 + CLASSES * STATES
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Expected starts, transitions and emissions of the sequences, by segments."""
+    """Expected starts, transitions and emissions of whole sequences, coded side by side.
+
+    Sequences are sorted by length, so step j concerns the first alive[j] of them; forward
+    probabilities are held for the tokens that there are, step after step.
+    """
     sums = np.zeros(SUMS)
-    parts = [(t[i : i + SEGMENT], i == 0) for t in texts for i in range(0, len(t), SEGMENT)]
-    if not parts:
+    texts = sorted((t for t in texts if len(t)), key=len, reverse=True)
+    if not texts:
         return sums
-    parts.sort(key=lambda p: -len(p[0]))
-    sizes, first = np.array([len(p) for p, _ in parts]), np.array([f for _, f in parts])
-    n, longest = len(parts), int(sizes[0])
-    seen = np.zeros((longest, n), np.int64)
-    flat, at = np.concatenate([p for p, _ in parts]), np.repeat(np.arange(n), sizes)
-    seen[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), at] = flat
-    alive = [int(np.searchsorted(-sizes, -(j + 1), "right")) for j in range(longest)]
-    emit = model.emit.astype(np.float64)
-    alpha, scale = np.zeros((longest, n, STATES)), np.ones((longest, n))
+    sizes = np.array([len(t) for t in texts])
+    flat, starts = np.concatenate(texts), np.cumsum(sizes) - sizes
+    alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right").tolist()
+    at = [0, *np.cumsum(alive).tolist()]
+    seen = np.empty(at[-1], np.int64)
+    for j, m in enumerate(alive):
+        seen[at[j] : at[j + 1]] = flat[starts[:m] + j]
+    likely = model.emit[seen]
+    alpha, scale = np.empty((at[-1], STATES)), np.empty(at[-1])
     for j, m in enumerate(alive):
-        a = np.where(first[:m, None], model.start, model.mean) if j == 0 else alpha[j - 1, :m] @ model.step
-        a = a * emit[seen[j, :m]]
-        scale[j, :m] = a.sum(1)
-        alpha[j, :m] = a / scale[j, :m, None]
-    beta = np.ones((n, STATES))
-    steps, emits = np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-    for j in range(longest - 1, -1, -1):
-        m = alive[j]
-        gamma = alpha[j, :m] * beta[:m]
-        for k in range(STATES):
-            emits[:, k] += np.bincount(seen[j, :m], gamma[:, k], CLASSES)
-        if j == 0:
-            sums[:STATES] = gamma[first].sum(0)
-        else:
-            ahead = emit[seen[j, :m]] * beta[:m] / scale[j, :m, None]
-            steps += alpha[j - 1, :m].T @ ahead * model.step
-            beta[:m] = ahead @ model.step.T
-    sums[STATES : STATES + STATES**2] = steps.ravel()
+        a = likely[at[j] : at[j + 1]] * (model.start if j == 0 else alpha[at[j - 1] : at[j - 1] + m] @ model.step)
+        norm = a.sum(1)
+        scale[at[j] : at[j + 1]] = norm
+        alpha[at[j] : at[j + 1]] = a / norm[:, None]
+    likely /= scale[:, None]
+    beta, steps = np.ones((len(texts), STATES)), np.zeros((STATES, STATES))
+    for j in range(len(alive) - 1, 0, -1):
+        m, own = alive[j], slice(at[j], at[j + 1])
+        ahead = likely[own] * beta[:m]
+        alpha[own] *= beta[:m]  # from here on the probabilities of step j's states; step j + 1 is done with it
+        steps += alpha[at[j - 1] : at[j - 1] + m].T @ ahead
+        beta[:m] = ahead @ model.step.T
+    first = slice(0, len(texts))
+    alpha[first] *= beta
+    sums[:STATES] = alpha[first].sum(0)
+    sums[STATES : STATES + STATES**2] = (steps * model.step).ravel()
+    emits = np.empty((CLASSES, STATES))
+    for k in range(STATES):
+        emits[:, k] = np.bincount(seen, alpha[:, k], CLASSES)
     sums[STATES + STATES**2 :] = emits.ravel()
     return sums
 
@@ -200,18 +226,30 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _chunks(seqs: list[bytes], most: int = 400_000) -> Iterator[list[np.ndarray]]:
+def _chunks(seqs: Iterable[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for s in seqs:
-        held.append(np.frombuffer(s, np.int16))
-        n += len(held[-1])
-        if n >= most:
+        if n and n + len(s) > most:
             yield held
             held, n = [], 0
+        held.append(s)
+        n += len(s)
     if held:
         yield held
 
 
+def _alike(batches: Iterable[list[np.ndarray]], most: int = HELD) -> Iterator[list[np.ndarray]]:
+    """All sequences in chunks of about equal lengths; long ones of several batches together."""
+    late: list[np.ndarray] = []
+    for seqs in batches:
+        late += [s for s in seqs if len(s) >= LONG]
+        yield from _chunks(sorted((s for s in seqs if len(s) < LONG), key=len), most)
+        if sum(map(len, late)) >= most:
+            yield from _chunks(late, most)
+            late = []
+    yield from _chunks(late, most)
+
+
 def read_texts(df: DataFrame, learn: Column, words: Vocabulary, doc_id: str, text: str) -> DataFrame:
     """Per row: its classes, sums over frequent words, and its infrequent words with their counts."""
     held = df.sparkSession.sparkContext.broadcast(words)
@@ -254,9 +292,8 @@ def train(texts: DataFrame, passes: int = PASSES) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(SUMS)
-            for b in batches:
-                for chunk in _chunks(b.column(0).to_pylist()):
-                    sums += expected_counts(held.value, chunk)
+            for chunk in _alike([np.frombuffer(x, np.int16) for x in b.column(0).to_pylist()] for b in batches):
+                sums += expected_counts(held.value, chunk)
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["i", "v"])
 
@@ -277,7 +314,7 @@ def score(df: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logs = [log_likelihoods(held.value, c) for c in _chunks(b.column(6).to_pylist(), 4_000_000)]
+            logs = [log_likelihoods(held.value, c) for c in _chunks([np.frombuffer(x, np.int16) for x in b.column(6).to_pylist()], 4_000_000)]
             cols = [b.column(i) for i in range(6)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(logs) if logs else np.zeros(0))], names=[*b.schema.names[:6], "classes"])
 

@@ -1,7 +1,7 @@
+import itertools
 import math
 import random
 
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -29,6 +29,40 @@ def test_classifier_separates_held_out_rows(spark):
     assert quality_classifier.classify(df.limit(0), labels, ~out).count() == 0
 
 
+def test_vectors_and_features_against_brute_force(spark):
+    """Context sums and pooled features, word by word in plain Python; labelled rows sampled by a hash bound."""
+    qc = quality_classifier
+    texts = ["the cat sat on the mat", "a b", "", None, "BUY now!! the cat", "x " * 30_000]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, Slot int")
+    base, sums = qc._index_vectors().astype(int), {}
+
+    def slots(w):
+        return divmod(qc._SLOTS[w.encode()], qc.SHAPE_SLOTS)
+
+    for t in texts:
+        w = [slots(x) for x in (t or "").split()]
+        place = [base[a] + base[qc.WORD_SLOTS + b] for a, b in w]
+        for i, (a, b) in enumerate(w):
+            near = sum((place[j] for j in range(max(0, i - qc.WINDOW), min(len(w), i + qc.WINDOW + 1)) if j != i), np.zeros(qc.DIMS, int))
+            for s in (a, qc.WORD_SLOTS + b):
+                sums[s] = sums.get(s, 0) + near
+    got = {r.slot: np.array(r[1:]) for r in qc.context_sums(df).collect()}
+    assert got.keys() == sums.keys() and all((got[s] == sums[s]).all() for s in sums)
+    vectors = qc.word_vectors(df)
+    for t, f in zip(texts, qc.pool(texts, vectors), strict=True):
+        w = [slots(x) for x in (t or "").split()]
+        parts = []
+        for v in ([vectors[a] for a, _ in w], [vectors[qc.WORD_SLOTS + b] for _, b in w]):
+            parts += [np.mean(v, 0), np.std(v, 0)] if w else [np.zeros(qc.DIMS)] * 2
+        assert np.allclose(f, np.concatenate([*parts, [np.log1p(len(w)) / 10]]), atol=1e-3)
+    net = qc.Network()
+    net.mean, net.scale, net.w1, net.b1, net.w2, net.b2, net.temperature = np.zeros(2), np.ones(2), np.eye(2), np.zeros(2), np.ones(2), np.zeros(1), 2.0
+    assert np.allclose(net.scores(np.array([[1.0, -5.0], [2.0, 2.0]])), 1 / (1 + np.exp([-0.5, -2.0])))
+    many = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', 'the', concat('w', id % 7), 'end', concat('k', id % 7), 'of') AS text")
+    labels = many.selectExpr("doc_id", "CAST(doc_id % 7 > 2 AS INT) AS quality")
+    assert qc.classify(many, labels, F.lit(True), max_train=300).where("(score >= 0.5) <> (doc_id % 7 > 2)").count() < 200
+
+
 def test_forward_and_counts_against_enumeration():
     model = hmm.Model()
     model.start = np.array([0.4, 0.2, 0.1, 0.1, 0.1, 0.1])
@@ -43,9 +77,65 @@ def test_forward_and_counts_against_enumeration():
     assert math.isclose(got[0], math.log10(total), rel_tol=1e-9) and got[1] == 0 and got[2] < got[0]
     sums = hmm.expected_counts(model, texts)
     s = hmm.STATES
-    assert math.isclose(sums[:s].sum(), 2) and math.isclose(sums[s : s + s * s].sum(), 2 + 200 - 4)
+    assert math.isclose(sums[:s].sum(), 2) and math.isclose(sums[s : s + s * s].sum(), 2 + 199)  # every transition of whole sequences
     emits = sums[s + s * s :].reshape(hmm.CLASSES, s).sum(1)
     assert math.isclose(emits[3], 2) and math.isclose(emits[5], 201)
+    # Whole sequences: the states' probabilities by enumeration of all paths.
+    want = np.zeros(hmm.SUMS)
+    for path in itertools.product(range(s), repeat=len(seq)):
+        p = model.start[path[0]] * np.prod([model.emit[x, a] for x, a in zip(seq, path, strict=True)]) * np.prod([model.step[a, b] for a, b in itertools.pairwise(path)])
+        p /= total
+        want[path[0]] += p
+        for a, b in itertools.pairwise(path):
+            want[s + a * s + b] += p
+        for x, a in zip(seq, path, strict=True):
+            want[s + s * s + x * s + a] += p
+    assert np.allclose(hmm.expected_counts(model, texts[:1]), want)
+    rng = np.random.default_rng(3)
+    many = [rng.integers(0, hmm.CLASSES, n).astype(np.int16) for n in (1, 7, 7, 300, 5000, 20_000, 0)]
+    each = sum(hmm.expected_counts(model, [t]) for t in many)
+    assert np.allclose(sum(hmm.expected_counts(model, c) for c in hmm._alike([many[:3], many[3:]], 400)), each)
+    assert sorted(len(t) for c in hmm._alike([many], 400) for t in c) == sorted(map(len, many))
+
+
+def test_frequent_words_by_whole_steps(spark):
+    counts = spark.createDataFrame([(b"w%d" % i, 1 + 1000 // (i + 1)) for i in range(500)] + [(b"\n", 10_000), (b"x" * 100, 5000)], "word binary, c bigint")
+    all_words = sorted(((f"w{i}".encode(), 1 + 1000 // (i + 1)) for i in range(500)), key=lambda x: (-x[1], x[0]))
+    for most in (0, 1, 10, 100, 500):
+        got = hmm.frequent_words(counts, most)
+        assert len(got) <= most and got == all_words[: len(got)] and (most < 10 or len(got) > most // 3)
+
+
+def test_whole_score_against_brute_force(spark):
+    """The model's final scores, recomputed from its parts in plain Python; a text of 30,000 words is one sequence."""
+    rng = random.Random(7)
+    docs = [(i, prose(rng, ["a", "bb", "ccc", "dd", "e"], 20)) for i in range(40)] + [(90, " ".join(f"w{i % 9000}" for i in range(30_000))), (91, "new words xyz")]
+    df = spark.createDataFrame([(i, t, 1.5) for i, t in docs], "doc_id bigint, text string, Score double")
+    learn = F.col("doc_id") != 91
+    got = {r.doc_id: r.score for r in hmm.score(df, learn, passes=2).collect()}
+    words = hmm.vocabulary(hmm.token_counts(df.where(learn)))
+    model = hmm.train(hmm.read_texts(df, learn, words, "doc_id", "text"), 2)
+    counts = {}
+    for i, t in docs:
+        for w in hmm.words_of(t) + [hmm.END] if i != 91 else []:
+            counts[w] = counts.get(w, 0) + 1
+    kind = {w: int(k) for w, k in zip(words.words, words.kinds, strict=True)}
+    size = {}
+    for w, c in counts.items():
+        n = size.setdefault(kind.get(w, hmm.Vocabulary.shared(w)), [0, 0])
+        n[0] += c
+        n[1] += 1
+    for i, t in docs:
+        alpha, want = None, 0.0
+        for w in hmm.words_of(t) + [hmm.END]:
+            k = kind.get(w, hmm.Vocabulary.shared(w))
+            alpha = model.emit[k] * (model.start if alpha is None else alpha @ model.step)
+            want += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            if k >= hmm.OWN:
+                n, v = size.get(k, (0, 0))
+                want += math.log10((counts.get(w, 0) + 1) / (n + v + 1))
+        assert math.isclose(got[i], want, rel_tol=1e-6), i
 
 
 def test_base_scores_and_gain_of_the_model(spark):
