@@ -144,8 +144,14 @@ def build(df: DataFrame, n: int, key: str = "key", fpp: float = 0.01, seed: int
     return shape
 
 
+#: Bits of a filter that may be broadcast (32 MB); beyond it, shards are built and probed each in its own tasks.
+BROADCAST_BITS = 1 << 28
+
+
 def probe(df: DataFrame, bloom: Bloom, key: str = "key", out: str = "might_contain") -> DataFrame:
-    """df plus whether the filter may hold the row's key; a filter has a fixed size and is broadcast."""
+    """df plus whether the filter may hold the row's key; the filter is broadcast, so its size is bounded."""
+    if bloom.bits > BROADCAST_BITS:
+        raise ValueError(f"a filter of {bloom.bits} bits is not broadcast: use build_shards and probe_shards")
     held, at = df.sparkSession.sparkContext.broadcast(bloom.to_bytes()), df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,3 +162,54 @@ def probe(df: DataFrame, bloom: Bloom, key: str = "key", out: str = "might_conta
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{schema}, `{out}` boolean")
+
+
+def _sharded(df: DataFrame, key: str, shards: int) -> DataFrame:
+    binary = F.col(f"`{key}`").cast("binary")
+    return df.select(F.pmod(F.xxhash64(binary), F.lit(shards)).cast("int").alias("shard"), binary.alias("k"))
+
+
+def build_shards(df: DataFrame, n: int, key: str = "key", fpp: float = 0.01, seed: int = 0) -> DataFrame:
+    """(shard, shards, filter): filters of df's about n distinct keys, dealt by hash so that none has more than BROADCAST_BITS."""
+    shards = -(-optimal_bits(n, fpp) // BROADCAST_BITS)
+    shape = Bloom.sized(-(-n // shards), fpp, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, Bloom] = {}
+        for b in batches:
+            who, keys = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for s in np.unique(who).tolist():
+                f = own.setdefault(s, Bloom(shape.bits, shape.hashes, seed))
+                f.add(keys[i] for i in np.flatnonzero(who == s))
+            for s in [s for s in own if s != int(who[-1])]:  # rows come sorted by shard
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "shards": pa.array([shards], pa.int32()), "filter": pa.array([own.pop(s).to_bytes()], pa.binary())})
+        for s, f in own.items():
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "shards": pa.array([shards], pa.int32()), "filter": pa.array([f.to_bytes()], pa.binary())})
+
+    held = _sharded(df, key, shards).where("k IS NOT NULL").distinct().repartition(shards, "shard").sortWithinPartitions("shard")
+    return held.mapInArrow(run, "shard int, shards int, filter binary")
+
+
+def probe_shards(df: DataFrame, filters: DataFrame, key: str = "key") -> DataFrame:
+    """(key, might_contain) of df's distinct keys: a shard's filter goes ahead of its keys to the task that has them."""
+    shards = filters.agg(F.max("shards")).first()[0] or 1
+    kind = df.schema[key].dataType
+    asked = _sharded(df, key, shards).where("k IS NOT NULL").distinct().select("shard", F.lit(1).alias("turn"), "k")
+    rows = filters.select("shard", F.lit(0).alias("turn"), F.col("filter").alias("k")).unionByName(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            who, turn, data = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(who) | np.diff(turn)) + 1).tolist(), len(who)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if turn[x] == 0:
+                    now, own = who[x], Bloom.from_bytes(data[x])
+                else:
+                    out[0].extend(data[x:y])
+                    out[1].extend(own.contains(data[x:y]).tolist() if now == who[x] else [False] * (y - x))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.bool_())], names=["k", "might_contain"])
+
+    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn").mapInArrow(run, "k binary, might_contain boolean")
+    return found.select(F.col("k").cast(kind).alias(key), "might_contain")

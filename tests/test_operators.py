@@ -52,6 +52,19 @@ def test_bloom_round_trip_rates_and_errors(spark):
     assert bloom.probe(df, f).where("might_contain").count() == 5000
 
 
+def test_sharded_filters(spark, monkeypatch):
+    members = spark.range(3000).selectExpr("concat('m', id) AS key")
+    others = spark.range(20_000).selectExpr("concat('o', id) AS key")
+    monkeypatch.setattr(bloom, "BROADCAST_BITS", 4096)
+    filters = bloom.build_shards(members.union(members), 3000)
+    assert filters.count() == filters.first().shards == 8
+    got = bloom.probe_shards(members.union(others).union(spark.sql("SELECT CAST(NULL AS STRING)")), filters).collect()
+    assert len(got) == 23_000 and all(r.might_contain for r in got if r.key[0] == "m") and sum(r.might_contain for r in got if r.key[0] == "o") < 300
+    assert bloom.probe_shards(members, bloom.build_shards(members.limit(0), 0)).where("might_contain").count() == 0
+    with pytest.raises(ValueError, match="broadcast"):
+        bloom.probe(members, bloom.Bloom.sized(3000))
+
+
 def test_binary_formats(spark, tmp_path):
     recs = [(b"a", b"1" * 30), (b"b", b"")]
     log = b"".join(formats.encode_record(k, v) for k, v in recs)
