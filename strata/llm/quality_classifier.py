@@ -207,10 +207,15 @@ def classify(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text"
     kind = df.schema[doc_id].dataType.simpleString()
     pooled = cut(df.select(doc_id, F.col(f"`{text}`")).mapInArrow(features, f"doc_id {kind}, features binary"))
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    # Hash order makes the sample the same whatever the partitions; takes only max_train rows to the driver.
+    hashed = marked.where(learn).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    # Hash order makes the sample the same whatever the partitions.  A hash bound leaves about 1.2 * max_train of the labels
+    # before any is ordered, so tasks and driver get no more than that, however many partitions there are.
+    n = hashed.count()
+    if n > 1.2 * max_train + 1000:
+        hashed = hashed.where(F.col("h") < int((1.2 * max_train + 1000) / n * 2**64) - 2**63)
     sample = (
-        pooled.join(marked.where(learn), "doc_id")
-        .select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "features", "quality", (_fold(F.col("doc_id"), 5, "kept") == 0).alias("kept"))
+        pooled.join(hashed, "doc_id")
+        .select("h", "features", "quality", (_fold(F.col("doc_id"), 5, "kept") == 0).alias("kept"))
         .orderBy("h", "features", "quality")
         .limit(max_train)
         .collect()
