@@ -1,9 +1,10 @@
 """Quality scores: random-indexing word vectors, pooled per document, and a small calibrated network.
 
-Every word has two tokens, itself and its shape (letters, digits and signs with runs collapsed),
-hashed to a fixed number of slots.  A slot's vector is the sum, over all words of all texts, of the
-fixed random ternary vectors of the words around it; the sums are integers, so they do not depend
-on how rows are dealt out.  A document's features are the mean and spread of its words' vectors.
+Every word has two tokens, itself and its shape (letters, digits and signs with runs collapsed).  Each
+token has a random ternary index vector of its own, seeded by its hash.  A word's context vector is
+the sum, over all words of all texts, of the index vectors of the words around it; context vectors
+are kept in a fixed number of slots, which rare words share by hash.  The sums are integers, so they
+do not depend on how rows are dealt out.  A document's features are the mean and spread of its words' vectors.
 A two-layer network is fitted to the labels on a sample of bounded size, and a temperature, fitted
 on rows kept from it, calibrates its probabilities.
 
@@ -18,8 +19,9 @@ class only, every score is the smoothed share of label 1 (0.5 without labels).
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import cut, table
 
-WORD_SLOTS, SHAPE_SLOTS, DIMS, WINDOW = 8192, 2048, 24, 2
+WORD_SLOTS, SHAPE_SLOTS, DIMS, WINDOW = 32_768, 2048, 24, 2
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
 #: Labelled rows that the network is fitted to, at most; chosen by a hash of their id.
 MAX_TRAIN = 20_000
@@ -40,44 +42,56 @@ _RUNS = re.compile(rb"(.)\1+", re.S)
 _CLASSES = bytes(ord("a") if 97 <= i <= 122 else ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57 else i if i < 128 else ord("u") for i in range(256))
 
 
-class _Slots(dict):
-    """word (UTF-8) -> word slot * SHAPE_SLOTS + shape slot; starts again when full."""
+class _Words(dict):
+    """word (UTF-8) -> its place in ``hashes``, the hashes of words and of their shapes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = (array("Q"), array("Q"))
 
     def __missing__(self, word: bytes) -> int:
         shape = _RUNS.sub(rb"\1+", word.translate(_CLASSES))
-        slot = zlib.crc32(word) % WORD_SLOTS * SHAPE_SLOTS + zlib.crc32(shape) % SHAPE_SLOTS
-        if len(self) >= 500_000:
+        for held, token in zip(self.hashes, (b"w" + word, b"s" + shape), strict=True):
+            held.append(int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little"))
+        self[word] = place = len(self)
+        return place
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of words and of their shapes; starts again first when many words are held."""
+        if len(self) > 300_000:
             self.clear()
-        self[word] = slot
-        return slot
+            self.hashes = (array("Q"), array("Q"))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return tuple(np.frombuffer(h, np.uint64)[at] if words else np.zeros(0, np.uint64) for h in self.hashes)
+
+
+_WORDS = _Words()
+#: What a byte of a hash says of four dimensions: two bits each, -1 or 1 if they differ, else 0.
+_TRITS = np.array([[(b >> 2 * k & 1) - (b >> 2 * k + 1 & 1) for k in range(4)] for b in range(256)], np.int8)
 
 
-_SLOTS = _Slots()
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """The random ternary vectors that hashes seed."""
+    return _TRITS[hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : DIMS // 4]].reshape(-1, DIMS)
 
 
-def _index_vectors() -> np.ndarray:
-    """The fixed random vectors: a third each of -1, 0 and 1."""
-    return np.random.default_rng(20240229).integers(-1, 2, (SLOTS, DIMS)).astype(np.int8)
+def slots(words: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (words % np.uint64(WORD_SLOTS)).astype(np.int64), (shapes % np.uint64(SHAPE_SLOTS)).astype(np.int64) + WORD_SLOTS
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word slots, shape slots, words per text) of runs of whole texts."""
+    """(hashes of words, hashes of shapes, words per text) of runs of whole texts."""
     words: list[bytes] = []
     counts: list[int] = []
-
-    def done():
-        both = np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words))
-        return both // SHAPE_SLOTS, both % SHAPE_SLOTS + WORD_SLOTS, np.array(counts, np.int64)
-
     for t in texts:
         own = t.encode().split() if t else []
         words += own
         counts.append(len(own))
         if len(words) >= CHUNK:
-            yield done()
+            yield *_WORDS.of(words), np.array(counts, np.int64)
             words, counts = [], []
     if counts:
-        yield done()
+        yield *_WORDS.of(words), np.array(counts, np.int64)
 
 
 def context_sums(df: DataFrame, text: str = "text") -> DataFrame:
@@ -85,18 +99,18 @@ def context_sums(df: DataFrame, text: str = "text") -> DataFrame:
     names = [f"c{i}" for i in range(DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, sums, seen = _index_vectors(), np.zeros((SLOTS, DIMS)), np.zeros(SLOTS, bool)
+        sums, seen = np.zeros((SLOTS, DIMS)), np.zeros(SLOTS, bool)
         for b in batches:
             for word, shape, counts in _chunks(b.column(0).to_pylist()):
                 if not len(word):
                     continue
-                place, doc = base[word] + base[shape], np.repeat(np.arange(len(counts)), counts)
+                place, doc = index_vectors(word) + index_vectors(shape), np.repeat(np.arange(len(counts)), counts)
                 near = np.zeros((len(word), DIMS), np.int16)
                 for d in range(1, WINDOW + 1):
                     same = (doc[d:] == doc[:-d])[:, None]
                     near[d:] += place[:-d] * same
                     near[:-d] += place[d:] * same
-                for slot in (word, shape):
+                for slot in slots(word, shape):
                     seen[slot] = True
                     for k in range(DIMS):
                         sums[:, k] += np.bincount(slot, near[:, k], SLOTS)
@@ -129,7 +143,7 @@ def pool(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(counts)
         if len(full):
             starts, n = (np.cumsum(counts) - counts)[full], counts[full][:, None]
-            for i, slot in enumerate((word, shape)):
+            for i, slot in enumerate(slots(word, shape)):
                 v = vectors[slot]
                 mean = np.add.reduceat(v, starts, axis=0) / n
                 out[full, 2 * i * DIMS : (2 * i + 1) * DIMS] = mean

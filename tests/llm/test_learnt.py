@@ -34,14 +34,22 @@ def test_vectors_and_features_against_brute_force(spark):
     qc = quality_classifier
     texts = ["the cat sat on the mat", "a b", "", None, "BUY now!! the cat", "x " * 30_000]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, Slot int")
-    base, sums = qc._index_vectors().astype(int), {}
+    sums = {}
+
+    def hashes(w):
+        return [int(h[0]) for h in qc._WORDS.of([w.encode()])]
 
     def slots(w):
-        return divmod(qc._SLOTS[w.encode()], qc.SHAPE_SLOTS)
+        a, b = hashes(w)
+        return a % qc.WORD_SLOTS, b % qc.SHAPE_SLOTS
+
+    def index(h):
+        return np.array([(h >> 2 * k & 1) - (h >> 2 * k + 1 & 1) for k in range(qc.DIMS)])
 
+    assert hashes("cat") != hashes("dog") and hashes("cat")[1] == hashes("dog")[1] and len({tuple(index(hashes(f"w{i}")[0])) for i in range(500)}) == 500
     for t in texts:
         w = [slots(x) for x in (t or "").split()]
-        place = [base[a] + base[qc.WORD_SLOTS + b] for a, b in w]
+        place = [sum(map(index, hashes(x))) for x in (t or "").split()]
         for i, (a, b) in enumerate(w):
             near = sum((place[j] for j in range(max(0, i - qc.WINDOW), min(len(w), i + qc.WINDOW + 1)) if j != i), np.zeros(qc.DIMS, int))
             for s in (a, qc.WORD_SLOTS + b):
