@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.llm.common import BLANKS, beside, cut, fresh, table, whole
@@ -53,22 +52,22 @@ def raked(cells: DataFrame, dims: list[str], targets: Mapping[str, Mapping[str,
     """
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
     held = cells.withColumn("w", F.col("n").cast("double"))
+    # A value's cells may be many: they are summed before a shuffle, as decimals, so that no order of addition matters.
+    exact = "decimal(38,12)"
     for d in dims:
-        own = F.sum("n").over(W.partitionBy(d))
-        share = F.when(own > 0, F.pow(own.cast("double"), F.lit(ALPHA))).otherwise(F.lit(0.0))
+        goals = held.groupBy(d).agg(F.sum("n").alias("own"))
+        share = F.when(F.col("own") > 0, F.pow(F.col("own").cast("double"), F.lit(ALPHA))).otherwise(F.lit(0.0))
         for value, s in (targets or {}).get(d, {}).items():
             share = F.when(F.col(d) == value, F.lit(float(s))).otherwise(share)
-        held = held.withColumn(f"goal_{d}", share)
+        goals = cut(goals.select(d, share.alias("g")))
+        sums = float(goals.agg(F.sum(F.col("g").cast(exact))).first()[0] or 0) or 1.0  # shares add up to 1 over a dimension's values
+        held = held.join(goals.select(d, (F.col("g") * F.lit(total / sums)).alias(f"goal_{d}")), d)
     held = cut(held)
-    for d in dims:  # shares add up to 1 over a dimension's values
-        sums = held.groupBy(d).agg(F.first(f"goal_{d}").alias("g")).agg(F.sum("g")).first()[0] or 1.0
-        held = held.withColumn(f"goal_{d}", F.col(f"goal_{d}") * F.lit(total / sums))
-    for i in range(sweeps):
+    for _ in range(sweeps):
         for d in dims:
-            now = F.sum("w").over(W.partitionBy(d))
-            held = held.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"goal_{d}") / now).otherwise(F.col("w")))
-        if i % 4 == 3:
-            held = cut(held)
+            now = held.groupBy(d).agg(F.sum(F.col("w").cast(exact)).cast("double").alias("now"))
+            held = held.join(now, d).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col(f"goal_{d}") / F.col("now")).otherwise(F.col("w"))).drop("now")
+        held = cut(held)
     return held.select(*dims, "n", "w")
 
 
@@ -87,9 +86,10 @@ def mix(df: DataFrame, targets=None, sweeps: int = SWEEPS, doc_id: str = "doc_id
     cells = cut(rows.groupBy(F.col(s).alias("source"), F.col(g).alias("lang"), F.col(names["topic"]).alias("topic")).agg(F.sum(n).alias("n")))
     ratio = cut(raked(cells, ["source", "lang", "topic"], targets, sweeps).withColumn("r", F.when(F.col("n") > 0, F.col("w") / F.col("n"))))
     most = float(ratio.agg(F.max("r")).first()[0] or 1.0)
-    p = ratio.select(F.col("source").alias("__a"), F.col("lang").alias("__b"), F.col("topic").alias("__c"), F.coalesce(F.col("r") / F.lit(most), F.lit(1.0)).alias(names["probability"]))
-    joined = beside(rows, p, (rows[s] == F.col("__a")) & (rows[g] == F.col("__b")) & (rows[names["topic"]] == F.col("__c")), "left")
-    return joined.drop("__a", "__b", "__c", n, s, g).withColumn(names["sampled"], draw(F.col(f"`{doc_id}`")) < F.col(names["probability"]))
+    a, b, c = (fresh(rows, x) for x in ("__a", "__b", "__c"))
+    p = ratio.select(F.col("source").alias(a), F.col("lang").alias(b), F.col("topic").alias(c), F.coalesce(F.col("r") / F.lit(most), F.lit(1.0)).alias(names["probability"]))
+    joined = beside(rows, p, (rows[s] == F.col(a)) & (rows[g] == F.col(b)) & (rows[names["topic"]] == F.col(c)), "left")
+    return joined.drop(a, b, c, n, s, g).withColumn(names["sampled"], draw(F.col(f"`{doc_id}`")) < F.col(names["probability"]))
 
 
 def query(spark, sf_dir):
