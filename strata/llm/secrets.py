@@ -8,9 +8,9 @@
 4. Candidates are verified with the full regular expression.  Rules without a mandatory trigram
    scan every text.
 
-The join back to the rows is a plain equi-join on the key: adaptive execution broadcasts the
-candidates while they stay under the session's threshold and splits hot keys (a text that a third
-of the rows share) where they do not.
+Rows learn whether their text may be a candidate from a bitmap of the candidates' keys, of fixed size:
+no text is shuffled, whatever share of the rows has it, and a bit that two texts share costs a
+verification, not a wrong span.
 
 Defined results: null is the empty text (no spans); repeated rows give repeated results; spans are
 code points, end exclusive, ordered by start, then by the rules' order; other columns pass through,
@@ -27,7 +27,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, fresh, table, whole
+from strata.llm.common import cut, flagged, fresh, table, whole
 
 
 @dataclass(frozen=True)
@@ -209,22 +209,17 @@ def scan(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", out:
     out = fresh(df, out)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted(set().union(*map(_trigrams, queries.values())))
-    key = fresh(df, "__key")
+    key, may = fresh(df, "__key"), fresh(df, "__may")
     base = df.withColumn(key, F.unhex(F.md5(F.col(f"`{text}`"))))
-    marks = []
     if grams:
         found = cut(candidates(postings(df, grams, text), rules))
-        found = found.select(F.col("key").alias(fresh(df, "__found")), *[F.col(c).alias(fresh(df, f"__{c}")) for c in found.columns[1:]])
-        marks = found.columns
-        base = base.join(found, base[key] == found[marks[0]], "left")
+        base = flagged(base, found.select(F.col("key").alias(key)), [key], may)
     t, none = whole(F.col(f"`{text}`")), F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     each = []
     for i, r in enumerate(rules):
-        may = t.rlike(r.pattern)
-        if queries[r.kind] is not None:
-            may = F.coalesce(F.col(fresh(df, f"__may_{r.kind}")), F.lit(False)) & may
-        each.append(F.when(may, _spans(t, r, i)).otherwise(none))
-    return base.withColumn(out, F.sort_array(F.concat(*each))).drop(key, *marks)
+        hit = t.rlike(r.pattern)
+        each.append(F.when(hit if queries[r.kind] is None else F.col(may) & hit, _spans(t, r, i)).otherwise(none))
+    return base.withColumn(out, F.sort_array(F.concat(*each))).drop(key, may)
 
 
 def listed(spans: Column) -> Column:
