@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,6 +22,29 @@ AFTER = "after"
 BEFORE = "before"
 
 
+def cut_sizes(sizes: np.ndarray, held: int, limit: int, rule: str) -> tuple[np.ndarray, int, int]:
+    """Segment numbers, from 0, of rows of these sizes after a segment that holds so much already; the number that goes on, and what it holds.
+
+    A search in the running sums finds each segment's end, so the work in Python is one step a segment.
+    """
+    n, sums, out, number, start = len(sizes), np.cumsum(sizes), np.zeros(len(sizes), np.int64), 0, 0
+    while start < n:
+        base = (int(sums[start - 1]) if start else 0) - held  # sums[j] - base: what the segment holds with row j
+        if rule == AFTER:
+            end = max(int(np.searchsorted(sums, base + limit, "left")) + 1, start + 1)
+            full = end <= n and int(sums[end - 1]) - base >= limit
+        else:
+            end = max(int(np.searchsorted(sums, base + limit, "right")), start)
+            before = int(sums[end - 1]) - base if end > start else held
+            end += end < n and before <= 0  # a row too large for any segment has one of its own
+            full = end < n
+        end = min(end, n)
+        out[start:end] = number
+        held = 0 if full else int(sums[n - 1]) - base
+        number, start = number + int(full), end
+    return out, number, held
+
+
 def numbered(held: DataFrame, size: str, limit: int, rule: str, out: str, who: int | None = None) -> DataFrame:
     """held plus its segment's number, from 0, of each task's rows as they come, anew where column ``who`` changes."""
     at = held.columns.index(size)
@@ -28,19 +52,17 @@ def numbered(held: DataFrame, size: str, limit: int, rule: str, out: str, who: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number, held_bytes = object(), 0, 0
         for b in batches:
-            out_ids = []
-            sizes = b.column(at).to_pylist()
-            for s, n in zip(sizes if who is None else b.column(who).to_pylist(), sizes, strict=True):
-                if who is not None and s != now:
-                    now, number, held_bytes = s, 0, 0
-                n = n or 0
-                if rule == BEFORE and held_bytes > 0 and held_bytes + n > limit:
-                    number, held_bytes = number + 1, 0
-                out_ids.append(number)
-                held_bytes += n
-                if rule == AFTER and held_bytes >= limit:
-                    number, held_bytes = number + 1, 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out_ids, pa.int64())], names=[*b.schema.names, out])
+            sizes, ids = b.column(at).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.zeros(len(b), np.int64)
+            stream = np.zeros(len(b), np.int64) if who is None else b.column(who).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(stream)) + 1).tolist(), len(b)] if len(b) else []
+            for x, y in zip(edges, edges[1:], strict=False):
+                name = None if who is None else b.column(who)[x].as_py()
+                if name != now:
+                    now, number, held_bytes = name, 0, 0
+                own, more, held_bytes = cut_sizes(sizes[x:y], held_bytes, limit, rule)
+                ids[x:y] = own + number
+                number += more
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], names=[*b.schema.names, out])
 
     return held.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField(out, T.LongType())]))
 

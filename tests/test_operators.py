@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +30,25 @@ def test_segments(spark):
     assert segment.segments(logs.limit(0), "n", 96, segment.AFTER, ["i"]).count() == 0
 
 
+def test_cuts_against_a_running_size():
+    rng = random.Random(8)
+    for trial in range(400):
+        rule, limit = (segment.AFTER, segment.BEFORE)[trial % 2], rng.randint(1, 30)
+        sizes = [rng.choice((0, 0, 1, 3, 7, 12, 40)) for _ in range(rng.randint(1, 40))]
+        want, number, held = [], 0, 0
+        for n in sizes:
+            if rule == segment.BEFORE and held > 0 and held + n > limit:
+                number, held = number + 1, 0
+            want.append(number)
+            held += n
+            if rule == segment.AFTER and held >= limit:
+                number, held = number + 1, 0
+        at = rng.randint(0, len(sizes))  # in two batches
+        first, more, left = segment.cut_sizes(np.array(sizes[:at], np.int64), 0, limit, rule)
+        second, more2, left = segment.cut_sizes(np.array(sizes[at:], np.int64), left, limit, rule)
+        assert [*first.tolist(), *(second + more).tolist()] == want and (more + more2, left) == (number, held)
+
+
 def test_cursor_cases(spark):
     keys = spark.createDataFrame([(k,) for k in "badc"], "key string")
     t = spark.createDataFrame([("bb",), ("z",), ("A",)], "target string")
