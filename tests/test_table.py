@@ -232,3 +232,22 @@ def test_ordered_iteration_and_pruned_lookups(spark, tmp_path):
     assert values(got) == {b"k105": b"b" * 64, b"nope": None} and "segment_id" in plan
     read = {f for f in got.inputFiles() if "/blobs/" in f}
     assert len(read) < len(t.manifest.blobs)
+
+
+def test_keyed_state_follows_the_newest_entry(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    from strata.streaming import latest_changes
+
+    src = str(tmp_path / "in")
+    for i, rows in enumerate(([(b"a", 5, False, b"new"), (b"b", 6, False, b"x"), (b"a", 3, False, b"old")], [(b"a", 1, False, b"late"), (b"b", 9, True, None)])):
+        spark.createDataFrame(rows, OPS).coalesce(1).write.parquet(f"{src}/{i}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(OPS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+        q = latest_changes(stream).writeStream.format("memory").queryName("newest_entries").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    seen = sorted((bytes(r.key), r.seq, r.deleted) for r in spark.table("newest_entries").collect())
+    assert seen == [(b"a", 5, False), (b"b", 6, False), (b"b", 9, True)]
