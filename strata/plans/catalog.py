@@ -574,7 +574,11 @@ def tombstone_half_profile(spark, d):
 
 
 def _new_table(spark, options: Options | None = None) -> KVTable:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-kv-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="strata-kv-")
     return KVTable.open(spark, f"{base}/kv-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", options)
 
 
@@ -650,7 +654,8 @@ def kv_stream(spark, d):
     events_log(spark, d).drop("shard").select(F.col("key").cast("binary").alias("key"), "seq", "deleted", F.col("value").cast("binary").alias("value")).repartition(4).write.parquet(f"{t.path}/in")
     rows = spark.readStream.schema("key binary, seq bigint, deleted boolean, value binary").option("maxFilesPerTrigger", 2).parquet(f"{t.path}/in")
     q = upsert_stream(rows, t, f"{t.path}/stream")
-    q.awaitTermination()
+    if not q.awaitTermination(1800):
+        raise RuntimeError("the stream has not ended")
     return _text(t.refresh().scan(), "seq")
 
 
