@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of each kind in a worker's young generation; the last one is kept beside it.  Bounds memory, not results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: Bytes of a match up to which its prefix table is filled by recursion.
 DEEP = 128
 #: Texts of a batch that are Python strings at a time.

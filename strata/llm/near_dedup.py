@@ -57,7 +57,7 @@ class _Words(dict):
     """word (UTF-8) -> 64-bit hash; starts again when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
