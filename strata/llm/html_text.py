@@ -2,21 +2,27 @@
 
 A tolerant tag scanner cuts a page into blocks and marks each as inside an explicit article (or
 main) element, outside one, or in a part that never is main text (navigation, footers, asides,
-adverts, notices, forms, comments).  For each host with a page that has no explicit article, the
-blocks outside articles of all its distinct pages are concatenated to token streams and their
-suffixes sorted, with the longest common prefix of neighbours: runs of RUN tokens or more that
-stand in two or more distinct pages of the host are its boilerplate, whatever element they are in.
-A block of fewer tokens is a run only as a whole, and only on MANY pages and SHARE of the host's:
-phrases, quotes and headings that a few pages share stay.
-
-A page with an explicit article is that article, whole: runs in it that other pages share stay.
-Of other pages, tokens covered by boilerplate are removed and the unique runs kept.
-
-Scale: pages are scanned where they are read, and copies of a page count once.  A host's pages are
-dealt into parts of about PART_TOKENS tokens; a task sorts the suffixes of one part and sends one row
-for each distinct run, with the first and last page that has it.  These are summed for the host, so
-a run is found though no part holds it twice, and a host with a third of all pages is spread over
-all tasks.  Runs that are boilerplate go back to the parts that have them.
+adverts, notices, forms, comments).  For every host all blocks, of articles too, are concatenated to
+token streams and their suffixes sorted, with the longest common prefix of neighbours.  Repeated
+runs of RUN tokens or more decide, whatever element they are in:
+
+* outside articles, runs that stand in two or more distinct pages of the host are its boilerplate.
+  A block of fewer tokens is a run only as a whole, and only on MANY pages and SHARE of the host's:
+  phrases, quotes and headings that a few pages share stay;
+* inside articles, runs that stand in MANY distinct articles and SHARE of the host's are: a notice or
+  advert without a telling element or class.  Text that fewer articles share stays.  So does all of
+  an article that such runs cover by half or more: it is a copy of others, not a frame around a text.
+
+Tokens covered by boilerplate are removed and the unique runs kept: of a page with an explicit
+article those of the article, else those of the blocks that may be main text.
+
+Scale: pages are scanned where they are read; equal articles of a host, and equal rests of its pages,
+count once.  They are dealt into parts of about PART_TOKENS tokens; a task sorts the suffixes of one
+part.  Runs outside articles are sent once for each part with the first and last page that has them,
+and summed for the host, so a run is found though no part holds it twice.  What stands in a SHARE of
+a host stands in that share of one of its parts at least: only those runs and blocks are sent, and
+where a host has several parts they are then counted in each.  A host with a third of all pages is
+spread over all tasks.  Runs that are boilerplate go back to the parts.
 
 Defined results: null or blank html gives an empty text; a null or odd url is a host of its own
 spelling; copies of one page count as one page, so a page is not its own boilerplate; repeated
@@ -29,6 +35,7 @@ import hashlib
 import html as entities
 import itertools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,13 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import beside, cut, table
+from strata.llm.common import beside, cut, flagged, table
 
 #: Tokens of the shortest repeated run that counts.
 RUN = 32
 #: Tokens, about, of a host whose suffixes a task sorts together.
 PART_TOKENS = 200_000
-#: Distinct pages, and share of the host's, on which a whole block of fewer tokens counts.
+#: Bytes of html, about, for each token of a page.
+TOKEN_BYTES = 8
+#: Distinct pages, and share of the host's, on which a whole block of fewer tokens counts; so for articles and runs in them.
 MANY, SHARE = 3, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
@@ -187,10 +196,12 @@ class Streams:
     """The concatenated token streams of pages, and their repeated runs.
 
     ``group`` has, for every start of a run of RUN tokens within a block, a number that equal runs share (else -1).
+    ``articles`` says which pages are articles (none, if left out); the others are what stands outside.
     """
 
-    def __init__(self, pages: list[list[list[str]]], run: int = RUN):
+    def __init__(self, pages: list[list[list[str]]], run: int = RUN, articles: list[bool] | None = None):
         self.run, self.n, ids = run, len(pages), {}
+        self.articles = np.array(articles or [False] * len(pages), bool)
         flat, self.page, self.left, self.blocks = [], [], [], []
         for p, blocks in enumerate(pages):
             for block in blocks:
@@ -207,16 +218,19 @@ class Streams:
         whole = self.left[order] >= run
         self.group[order[whole]] = number[whole]
 
-    def named(self) -> tuple[np.ndarray, np.ndarray]:
-        """(a start of each group's run, the run's hash by its content), by group number."""
-        starts = np.flatnonzero(self.group >= 0)
-        _, first = np.unique(self.group[starts], return_index=True)
+    def starts(self, inside: bool) -> np.ndarray:
+        """Where runs of RUN tokens start, inside articles or outside."""
+        return np.flatnonzero((self.group >= 0) & (self.articles[self.page] == inside))
+
+    def named(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of the groups that start there, the hash of each one's run by its content), by group number."""
+        numbers, first = np.unique(self.group[starts], return_index=True)
         starts = starts[first]
         words = np.array([_hash(w) for w in self.words], np.int64).view(np.uint64)
         out = np.zeros(len(starts), np.uint64)
         for k in range(self.run if len(starts) else 0):
             out = _mixed(out * _MIX + words[self.tokens[starts + k]])
-        return starts, out.view(np.int64)
+        return numbers, out.view(np.int64)
 
     def covered(self, hit: np.ndarray) -> np.ndarray:
         """Which tokens lie in a run that starts at one of the marked places."""
@@ -225,14 +239,21 @@ class Streams:
         np.add.at(change, np.flatnonzero(hit) + self.run, -1)
         return np.cumsum(change)[: len(self.tokens)] > 0
 
-    def marks(self, long: set[int], short: set[int]) -> list[list[np.ndarray]]:
-        """For each page's blocks, which tokens are covered by the runs (by hash) in long, or whole as those in short are."""
-        starts, names = self.named()
-        bad = self.group[starts[[h in long for h in names.tolist()]]] if len(starts) else starts
-        cover = self.covered(np.isin(self.group, bad) & (self.group >= 0))
+    def marks(self, long: set[int], short: set[int], inside: set[int] = frozenset()) -> list[list[np.ndarray]]:
+        """For each page's blocks, which tokens are covered by the runs (by hash) in long, or whole as those in short are.
+
+        For articles, those covered by the runs in inside."""
+        hit = np.zeros(len(self.tokens), bool)
+        for article, wanted in ((False, long), (True, inside)):
+            starts = self.starts(article) if wanted else []
+            if len(starts):
+                numbers, names = self.named(starts)
+                bad = numbers[np.array([h in wanted for h in names.tolist()], bool)]
+                hit[starts[np.isin(self.group[starts], bad)]] = True
+        cover = self.covered(hit)
         out: list[list[np.ndarray]] = [[] for _ in range(self.n)]
         for p, at, n in self.blocks:
-            whole = n < self.run and self.block_hash(at, n) in short
+            whole = n < self.run and not self.articles[p] and self.block_hash(at, n) in short
             out[p].append(np.ones(n, bool) if whole else cover[at : at + n])
         return out
 
@@ -240,20 +261,31 @@ class Streams:
         return _hash(" ".join(self.words[t] for t in self.tokens[at : at + n].tolist()))
 
     def runs(self, keys: list[int]) -> list[tuple[int, bool, int, int, int]]:
-        """(hash, short, least key, greatest key, pages) of every run and short block, keys naming the pages."""
+        """(hash, short, least key, greatest key, pages) of every run and short block outside articles, keys naming the pages."""
         out, key = [], np.array(keys, np.int64)
-        starts, names = self.named()
-        if len(starts):
-            held = np.flatnonzero(self.group >= 0)
+        held = self.starts(False)
+        if len(held):
+            _, names = self.named(held)
             held = held[np.argsort(self.group[held], kind="stable")]
             edges = np.flatnonzero(np.diff(self.group[held], prepend=-1))
             lo, hi = np.minimum.reduceat(key[self.page[held]], edges), np.maximum.reduceat(key[self.page[held]], edges)
             out += [(h, False, a, b, 0) for h, a, b in zip(names.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-        short = Counter({(self.block_hash(at, n), p) for p, at, n in self.blocks if 0 < n < self.run})
+        short = Counter({(self.block_hash(at, n), p) for p, at, n in self.blocks if 0 < n < self.run and not self.articles[p]})
         for h, n in Counter(h for h, _ in short).items():
             out.append((h, True, 0, 0, n))
         return out
 
+    def shared(self, least: float) -> list[tuple[int, int]]:
+        """(hash, articles) of every run that stands in so many articles."""
+        starts = self.starts(True)
+        pairs = np.unique(self.group[starts] * max(self.n, 1) + self.page[starts]) // max(self.n, 1)
+        numbers, counts = np.unique(pairs, return_counts=True)
+        often = counts >= least
+        if not often.any():
+            return []
+        _, names = self.named(starts[np.isin(self.group[starts], numbers[often])])
+        return list(zip(names.tolist(), counts[often].tolist(), strict=True))
+
 
 def _needs(page: list[tuple[str, int]]) -> bool:
     return not any(place == 2 for _, place in page)
@@ -268,28 +300,127 @@ def _outside(page: list[tuple[str, int]]) -> str:
     return "\n".join(f"{place}{text}" for text, place in page if place < 2)
 
 
+def _inside(page: list[tuple[str, int]]) -> str:
+    """The blocks of a page's article, so."""
+    return "\n".join(f"2{text}" for text, place in page if place == 2)
+
+
 def _of(blocks: str) -> list[list[str]]:
-    """The tokens of each of ``_outside``'s blocks."""
+    """The tokens of each of ``_outside``'s or ``_inside``'s blocks."""
     return [line[1:].split() for line in blocks.split("\n")] if blocks else []
 
 
 def _uncovered(blocks: str, marks: list[np.ndarray]) -> str:
+    """What of blocks that may be main text is not covered; an article that is covered by half or more stays."""
+    article = blocks[:1] == "2"
+    if article and 2 * sum(int(m.sum()) for m in marks) >= sum(map(len, marks)):
+        marks = [np.zeros(len(m), bool) for m in marks]
     kept = []
     for line, covered in zip(blocks.split("\n") if blocks else (), marks, strict=True):
         unique = [w for w, c in zip(line[1:].split(), covered.tolist(), strict=True) if not c]
-        if unique and line[0] == "1":
+        if unique and line[0] != "0":
             kept.append(" ".join(unique))
     return "\n".join(kept)
 
 
 def main_texts(pages: list[list[tuple[str, int]]]) -> list[str]:
     """The main text of each of one host's pages, given as their blocks; all at once."""
-    held = list(dict.fromkeys(map(_outside, pages)))
-    streams = Streams([_of(h) for h in held])
+    outside = list(dict.fromkeys(map(_outside, pages)))
+    articles = list(dict.fromkeys(_inside(p) for p in pages if not _needs(p)))
+    held = outside + articles
+    streams = Streams([_of(h) for h in held], articles=[k >= len(outside) for k in range(len(held))])
     runs = streams.runs(list(range(len(held))))
-    short = {h for h, s, _, _, n in runs if s and n >= MANY and n >= SHARE * len(held)}
-    texts = {h: _uncovered(h, m) for h, m in zip(held, streams.marks({h for h, s, lo, hi, _ in runs if not s and lo < hi}, short), strict=True)}
-    return [texts[_outside(p)] if _needs(p) else _article(p) for p in pages]
+    short = {h for h, s, _, _, n in runs if s and n >= MANY and n >= SHARE * len(outside)}
+    inside = {h for h, _ in streams.shared(max(MANY, SHARE * len(articles)))}
+    texts = {h: _uncovered(h, m) for h, m in zip(held, streams.marks({h for h, s, lo, hi, _ in runs if not s and lo < hi}, short, inside), strict=True)}
+    return [texts[_outside(p) if _needs(p) else _inside(p)] for p in pages]
+
+
+#: Kinds of rows that tell of runs: long ones outside articles, short blocks there, runs in articles, and a part's numbers.
+_LONG, _SHORT, _INSIDE, _PART = range(4)
+
+
+def _key(blocks: str) -> bytes:
+    return hashlib.blake2b(blocks.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, whether a page is without article, blocks) of the articles and of what stands outside, once a task."""
+    seen: set[tuple] = set()
+    for b in batches:
+        out = []
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = blocks(page)
+            need = _needs(found)
+            for held in (_outside(found),) if need else (_outside(found), _inside(found)):
+                own = _key(held)
+                if (host, own, need) not in seen:
+                    seen.add((host, own, need))
+                    out.append((host, own, need, zlib.compress(held.encode("utf-8", "replace"), 1)))
+        kinds = (pa.string(), pa.binary(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "own", "need", "blocks"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list, list]]:
+    """(host, part, parts of the host, [key, need, blocks] of each text, (kind, run) told to the part) in turn; a task holds one part."""
+    rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+    for (host, part), own in itertools.groupby(rows, lambda r: (r[0], r[1])):
+        texts, told, parts = [], [], 1
+        for _, _, parts, key, need, packed, kind, run in own:
+            if key is None:
+                told.append((kind, run))
+            elif texts and texts[-1][0] == key:
+                texts[-1][1] |= need
+            else:
+                texts.append([key, need, zlib.decompress(packed).decode()])
+        yield host, part, parts, texts, told
+
+
+def _streams(texts: list) -> Streams:
+    return Streams([_of(t) for _, _, t in texts], articles=[t[:1] == "2" for _, _, t in texts])
+
+
+_RUNS = "host string, part int, parts int, kind int, run bigint, lo bigint, hi bigint, n bigint"
+
+
+def _run_rows(host: str, part: int, parts: int, rows: list) -> pa.RecordBatch:
+    rows = [(host, part, parts, *r) for r in rows]
+    kinds = (pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _RUNS.split(", ")])
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part, its runs outside articles, and what stands in a SHARE of it."""
+    for host, part, parts, texts, _ in _parts(batches):
+        streams, least = _streams(texts), MANY if parts == 1 else 1
+        articles = int(streams.articles.sum())
+        pages = len(texts) - articles
+        rows = [(_PART, 0, articles, sum(need for _, need, _ in texts), pages)]
+        for h, short, lo, hi, n in streams.runs([int.from_bytes(k[:8], "little", signed=True) for k, _, _ in texts]):
+            if not short or n >= max(least, SHARE * pages):
+                rows.append((_SHORT if short else _LONG, h, lo, hi, n))
+        rows += [(_INSIDE, h, 0, 0, n) for h, n in streams.shared(max(least, SHARE * articles))]
+        yield _run_rows(host, part, parts, rows)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many pages or articles of each part the short blocks and runs told to it stand."""
+    for host, part, parts, texts, told in _parts(batches):
+        streams, told = _streams(texts), set(told)
+        rows = [(_SHORT, h, 0, 0, n) for h, short, _, _, n in streams.runs([0] * len(texts)) if short and (_SHORT, h) in told]
+        rows += [(_INSIDE, h, 0, 0, n) for h, n in streams.shared(1) if (_INSIDE, h) in told]
+        yield _run_rows(host, part, parts, rows)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, unique) of the pages without article, and of the articles that runs told to their part change."""
+    for host, _, _, texts, told in _parts(batches):
+        long, short, inside = ({h for k, h in told if k == kind} for kind in (_LONG, _SHORT, _INSIDE))
+        out = []
+        for (key, need, held), marks in zip(texts, _streams(texts).marks(long, short, inside), strict=True):
+            if need or (held[:1] == "2" and any(m.any() for m in marks)):
+                out.append((host, key, _uncovered(held, marks)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.binary(), pa.string()))], names=["host", "own", "unique"])
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -299,68 +430,65 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), r"^(?i)www\.", ""))
     source = source.withColumn("host", host)
 
+    # Parts of the hosts that have more than one.
+    part_bytes = TOKEN_BYTES * PART_TOKENS
+    sizes = cut(source.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")))
+    large = cut(sizes.where(F.col("bytes") > part_bytes).select("host", F.ceil(F.col("bytes") / part_bytes).cast("int").alias("parts")))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, (sizes.agg(F.sum("bytes")).first()[0] or 0) // (16 * part_bytes))
+
+    def parts(pages: DataFrame, told: DataFrame | None = None) -> DataFrame:
+        """The texts of pages in the order of their parts, after the (host, part, parts, kind, run) told to them."""
+        held = beside(pages.select("host", "html").mapInArrow(_pack, "host string, own binary, need boolean, blocks binary"), large, "host", "left")
+        held = held.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("own"), "parts").cast("int"))
+        held = held.select("host", "part", "parts", "own", "need", "blocks", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("bigint").alias("run"))
+        if told is not None:
+            held = held.unionByName(told, allowMissingColumns=True)
+        return held.repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "own")
+
+    def everywhere(found: DataFrame) -> DataFrame:
+        """(host, parts, kind, run) for each part of the host."""
+        return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", "part", "parts", "kind", "run")
+
+    runs = cut(parts(source).mapInArrow(_find, _RUNS))
+    totals = runs.where(F.col("kind") == _PART).groupBy("host").agg(F.sum("n").alias("pages"), F.sum("lo").alias("articles"), F.sum("hi").alias("needs"))
+    totals = cut(totals)
+    needy = cut(totals.where("needs > 0").select("host"))
+
+    # Short blocks and runs in articles that a part holds often: counted in all parts where the host has more than one.
+    often = runs.where(F.col("kind").isin(_SHORT, _INSIDE))
+    often = cut(beside(often, totals, "host").where((F.col("kind") == _INSIDE) | (F.col("needs") > 0)).groupBy("host", "parts", "kind", "run").agg(F.sum("n").alias("n")))
+    several = cut(often.where("parts > 1"))
+    counts = often.where("parts = 1")
+    if not several.isEmpty():
+        again = flagged(source, several.select("host").distinct(), ["host"], "told").where("told")
+        again = parts(again, everywhere(several)).mapInArrow(_count, _RUNS)
+        counts = counts.unionByName(cut(again.groupBy("host", "parts", "kind", "run").agg(F.sum("n").alias("n"))))
+    whole = F.when(F.col("kind") == _SHORT, F.col("pages")).otherwise(F.col("articles"))
+    found = cut(beside(counts, totals, "host").where((F.col("n") >= MANY) & (F.col("n") >= SHARE * whole)).select("host", "parts", "kind", "run"))
+
+    hosts = cut(needy.union(found.where(F.col("kind") == _INSIDE).select("host")).distinct())
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks(h) for h in b.column(2).to_pylist()]
-            texts = pa.array([None if _needs(p) else _article(p) for p in found], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), texts], names=["page_id", "url", "host", "text"])
+            pages = [blocks(h) for h in b.column(2).to_pylist()]
+            keys = [_key(_outside(p) if _needs(p) else _inside(p)) for p in pages]
+            cols = [b.column(0), b.column(1), b.column(3), pa.array(keys, pa.binary()), pa.array([_article(p) for p in pages], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "own", "text"])
 
-    scanned = source.mapInArrow(scan, f"page_id {kinds[0]}, url {kinds[1]}, host string, text string")
-    hosts = cut(scanned.where(F.col("text").isNull()).select("host").distinct())
-    if hosts.isEmpty():
-        return scanned.select("page_id", "url", "text")
+    def scanned(pages: DataFrame) -> DataFrame:
+        return pages.select("page_id", "url", "html", "host").mapInArrow(scan, f"page_id {kinds[0]}, url {kinds[1]}, host string, own binary, text string")
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [blocks(h) for h in b.column(3).to_pylist()]
-            texts = pa.array([None if _needs(p) else _article(p) for p in found], pa.string())
-            held = [_outside(p) for p in found]
-            keys = [hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=16).digest() for x in held]
-            cols = [b.column(0), b.column(1), b.column(2), texts, pa.array(keys, pa.binary()), pa.array(held, pa.string()), pa.array([x.count(" ") + x.count("\n") + 1 for x in held], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "text", "own", "blocks", "tokens"])
-
-    among = beside(source, hosts, "host", "left_semi").select("page_id", "url", "host", "html")
-    rows = cut(among.mapInArrow(stream, f"page_id {kinds[0]}, url {kinds[1]}, host string, text string, own binary, blocks string, tokens bigint"))
-    others = beside(scanned, hosts, "host", "left_anti").select("page_id", "url", "text")
-
-    # Each distinct page once, with its part of the host.
-    pages = rows.groupBy("host", "own").agg(F.first("blocks").alias("blocks"), F.first("tokens").alias("tokens"), F.max(F.col("text").isNull()).alias("need"))
-    pages = cut(pages)
-    sizes = cut(pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum("tokens").alias("all")))
-    part = F.pmod(F.xxhash64("own"), F.ceil(F.col("all") / PART_TOKENS)).cast("int")
-    parts = cut(beside(pages, sizes, "host").select("host", part.alias("part"), "own", "need", "blocks").repartition("host", "part").sortWithinPartitions("host", "part"))
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
-        """((host, part), its rows) in turn; a task holds one part."""
-        held = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
-        for key, own in itertools.groupby(held, lambda r: (r[0], r[1])):
-            yield key, list(own)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (name, number), own in groups(batches):
-            made = Streams([_of(r[4]) for r in own]).runs([int.from_bytes(r[2][:8], "little", signed=True) for r in own])
-            cols = [pa.array([name] * len(made), pa.string()), pa.array([number] * len(made), pa.int32())]
-            cols += [pa.array([r[i] for r in made], k) for i, k in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["host", "part", "run", "short", "lo", "hi", "n"])
-
-    runs = cut(parts.mapInArrow(spread, "host string, part int, run bigint, short boolean, lo bigint, hi bigint, n bigint"))
-    counts = runs.groupBy("host", "run", "short").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-    bad = F.when(F.col("short"), (F.col("n") >= MANY) & (F.col("n") >= SHARE * F.col("pages"))).otherwise(F.col("lo") < F.col("hi"))
-    found = cut(beside(counts, sizes, "host").where(bad).select("host", "run", "short"))
-    hits = beside(runs, found, ["host", "run", "short"])  # of a part, so bounded
-    hits = hits.groupBy("host", "part").agg(F.collect_list(F.when(~F.col("short"), F.col("run"))).alias("long"), F.collect_list(F.when(F.col("short"), F.col("run"))).alias("shorts"))
-    marked = parts.join(hits, ["host", "part"], "left").select("host", "part", "own", "need", "blocks", "long", "shorts")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in groups(batches):
-            found = Streams([_of(r[4]) for r in own]).marks(set(own[0][5] or ()), set(own[0][6] or ()))
-            out = [(r[0], r[2], _uncovered(r[4], m)) for r, m in zip(own, found, strict=True) if r[3]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.binary(), pa.string()))], names=["host", "own", "unique"])
-
-    marked = marked.repartition("host", "part").sortWithinPartitions("host", "part")
-    texts = cut(marked.mapInArrow(finish, "host string, own binary, unique string"))
-    made = rows.select("page_id", "url", "host", "own", "text").join(texts, ["host", "own"], "left").select("page_id", "url", F.coalesce("text", "unique").alias("text"))
-    return others.unionByName(made)
+    if hosts.isEmpty():
+        return scanned(source).select("page_id", "url", "text")
+
+    # Long runs go to the parts that hold them, the others to all of the host.
+    long = cut(beside(runs.where(F.col("kind") == _LONG), needy, "host", "left_semi"))
+    bad = cut(long.groupBy("host", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "run"))
+    told = beside(long, bad, ["host", "run"], "left_semi").select("host", "part", "parts", "kind", "run").unionByName(everywhere(found))
+    marked = flagged(source, hosts, ["host"], "hot")
+    texts = parts(marked.where("hot"), told).mapInArrow(_finish, "host string, own binary, unique string")
+    made = scanned(marked.where("hot")).join(texts, ["host", "own"], "left").select("page_id", "url", F.coalesce("unique", "text").alias("text"))
+    return scanned(marked.where("not hot")).select("page_id", "url", "text").unionByName(made)
 
 
 def query(spark, sf_dir):

@@ -177,3 +177,49 @@ def test_very_long_page_and_names(spark):
     rows = [(1, "https://l.example", f"<p>{long}</p>", "a", 1), (2, "https://l.example", f"<p>{long} end</p>", "b", 2), (3, "https://l.example", f"<article>{long}</article>", "c", 3)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string, own string, part int")
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {1: "", 2: "end", 3: long}
+
+
+def article_pages():
+    """Pages of one host, all with an article: a notice without a telling element in most, a passage in few, an article with edited copies, a teaser on all."""
+    notice, passage, teaser = (" ".join(f"{w}{k}" for k in range(40)) for w in ("notice", "passage", "teaser"))
+    pages, want = [], []
+    for i in range(30):
+        own = " ".join(f"own{i}x{k}" for k in range(120))
+        body = teaser if i == 4 else passage if i % 7 == 0 else f"Part {i}"
+        pages.append(f"<nav>Home News</nav><article><h1>News</h1><p>{own}</p><div>{notice if i % 5 else ''}</div><p>{body}</p></article><div>{teaser}</div>")
+        want.append(f"News\n{own}\n{body}")
+    return pages, want
+
+
+def test_runs_decide_inside_articles(spark, monkeypatch):
+    pages, want = article_pages()
+    copies = [f"<article><p>{' '.join(f'same{k}' for k in range(60))}</p><p>edited {i}</p></article>" for i in range(6)]
+    rows = [(i, "https://a.example/x", h) for i, h in enumerate(pages)] + [(100 + i, "https://copies.example", h) for i, h in enumerate(copies)]
+    rows += [(200 + i, "https://a.example/copy", pages[1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    texts = dict(enumerate(want)) | {100 + i: text_of(h) for i, h in enumerate(copies)} | {200 + i: want[1] for i in range(40)}
+    assert html_text.main_texts([html_text.blocks(h) for h in pages]) == want and any("notice7" in text_of(h) for h in pages)
+    for size in (200_000, 1000):  # one part, and several
+        monkeypatch.setattr(html_text, "PART_TOKENS", size)
+        assert {r.page_id: r.text for r in html_text.extract(df).collect()} == texts
+
+
+def test_runs_in_articles_against_brute_force():
+    rng = random.Random(5)
+    pages = [[[rng.choice("ab") for _ in range(rng.randint(1, 9))] for _ in range(2)] for _ in range(12)] + [[]]
+    inside = [p % 3 > 0 for p in range(len(pages))]
+    streams = html_text.Streams(pages, 4, inside)
+
+    def held(page):
+        return {tuple(b[k : k + 4]) for b in page for k in range(len(b) - 3)}
+
+    for least in (1, 3):
+        runs = [r for r in set().union(*map(held, pages)) if sum(r in held(p) for p, a in zip(pages, inside, strict=True) if a) >= max(least, 1)]
+        found = streams.shared(least)
+        assert sorted(n for _, n in found) == sorted(sum(r in held(p) for p, a in zip(pages, inside, strict=True) if a) for r in runs)
+        for page, article, marks in zip(pages, inside, streams.marks(set(), set(), {h for h, _ in found}), strict=True):
+            for block, got in zip(page, marks, strict=True):
+                want = np.zeros(len(block), bool)
+                for a in range(len(block) - 3):
+                    want[a : a + 4] |= article and tuple(block[a : a + 4]) in runs
+                assert (got == want).all()
