@@ -18,11 +18,11 @@ article those of the article, else those of the blocks that may be main text.
 
 Scale: pages are scanned where they are read; equal articles of a host, and equal rests of its pages,
 count once.  They are dealt into parts of about PART_TOKENS tokens; a task sorts the suffixes of one
-part.  Runs outside articles are sent once for each part with the first and last page that has them,
-and summed for the host, so a run is found though no part holds it twice.  What stands in a SHARE of
-a host stands in that share of one of its parts at least: only those runs and blocks are sent, and
-where a host has several parts they are then counted in each.  A host with a third of all pages is
-spread over all tasks.  Runs that are boilerplate go back to the parts.
+part.  The hashes of a part's runs outside articles are sent, packed, to one of as many buckets as the
+host has parts, so a run is found though no part holds it twice.  What stands in a SHARE of a host
+stands in that share of one of its parts at least: only those short blocks and runs in articles are
+sent, and where a host has several parts they are then counted in each.  A host with a third of all
+pages is spread over all tasks.  Runs that are boilerplate go back to the parts.
 
 Defined results: null or blank html gives an empty text; a null or odd url is a host of its own
 spelling; copies of one page count as one page, so a page is not its own boilerplate; repeated
@@ -248,7 +248,7 @@ class Streams:
             starts = self.starts(article) if wanted else []
             if len(starts):
                 numbers, names = self.named(starts)
-                bad = numbers[np.array([h in wanted for h in names.tolist()], bool)]
+                bad = numbers[np.isin(names, np.fromiter(wanted, np.int64, len(wanted)))]
                 hit[starts[np.isin(self.group[starts], bad)]] = True
         cover = self.covered(hit)
         out: list[list[np.ndarray]] = [[] for _ in range(self.n)]
@@ -262,18 +262,23 @@ class Streams:
 
     def runs(self, keys: list[int]) -> list[tuple[int, bool, int, int, int]]:
         """(hash, short, least key, greatest key, pages) of every run and short block outside articles, keys naming the pages."""
-        out, key = [], np.array(keys, np.int64)
-        held = self.starts(False)
-        if len(held):
-            _, names = self.named(held)
-            held = held[np.argsort(self.group[held], kind="stable")]
-            edges = np.flatnonzero(np.diff(self.group[held], prepend=-1))
-            lo, hi = np.minimum.reduceat(key[self.page[held]], edges), np.maximum.reduceat(key[self.page[held]], edges)
-            out += [(h, False, a, b, 0) for h, a, b in zip(names.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+        names, lo, hi = self.long_runs(keys)
+        return [(h, False, a, b, 0) for h, a, b in zip(names.tolist(), lo.tolist(), hi.tolist(), strict=True)] + [(h, True, 0, 0, n) for h, n in self.short_blocks()]
+
+    def long_runs(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of the runs outside articles, and the least and greatest of the keys of their pages."""
+        held, key = self.starts(False), np.array(keys, np.int64)
+        if not len(held):
+            return (np.zeros(0, np.int64),) * 3
+        _, names = self.named(held)
+        held = held[np.argsort(self.group[held], kind="stable")]
+        edges = np.flatnonzero(np.diff(self.group[held], prepend=-1))
+        return names, np.minimum.reduceat(key[self.page[held]], edges), np.maximum.reduceat(key[self.page[held]], edges)
+
+    def short_blocks(self) -> list[tuple[int, int]]:
+        """(hash, pages) of every block outside articles that is shorter than a run."""
         short = Counter({(self.block_hash(at, n), p) for p, at, n in self.blocks if 0 < n < self.run and not self.articles[p]})
-        for h, n in Counter(h for h, _ in short).items():
-            out.append((h, True, 0, 0, n))
-        return out
+        return list(Counter(h for h, _ in short).items())
 
     def shared(self, least: float) -> list[tuple[int, int]]:
         """(hash, articles) of every run that stands in so many articles."""
@@ -362,13 +367,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list, list]]:
-    """(host, part, parts of the host, [key, need, blocks] of each text, (kind, run) told to the part) in turn; a task holds one part."""
+    """(host, part, parts of the host, [key, need, blocks] of each text, (kind, run or bucket, packed runs) told to the part) in turn; a task holds one part."""
     rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
     for (host, part), own in itertools.groupby(rows, lambda r: (r[0], r[1])):
         texts, told, parts = [], [], 1
         for _, _, parts, key, need, packed, kind, run in own:
             if key is None:
-                told.append((kind, run))
+                told.append((kind, run, packed))
             elif texts and texts[-1][0] == key:
                 texts[-1][1] |= need
             else:
@@ -380,42 +385,77 @@ def _streams(texts: list) -> Streams:
     return Streams([_of(t) for _, _, t in texts], articles=[t[:1] == "2" for _, _, t in texts])
 
 
-_RUNS = "host string, part int, parts int, kind int, run bigint, lo bigint, hi bigint, n bigint"
+_RUNS = "host string, part int, parts int, kind int, run bigint, articles bigint, needs bigint, n bigint, packed binary"
 
 
 def _run_rows(host: str, part: int, parts: int, rows: list) -> pa.RecordBatch:
     rows = [(host, part, parts, *r) for r in rows]
-    kinds = (pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 4)
+    kinds = (pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 4, pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _RUNS.split(", ")])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part, its runs outside articles, and what stands in a SHARE of it."""
+    """Of each part, its runs outside articles, and what stands in a SHARE of it.
+
+    The runs of a host of one part are those on two pages; of others, all by buckets, those on two pages marked."""
     for host, part, parts, texts, _ in _parts(batches):
         streams, least = _streams(texts), MANY if parts == 1 else 1
-        articles = int(streams.articles.sum())
+        articles, needs = int(streams.articles.sum()), sum(need for _, need, _ in texts)
         pages = len(texts) - articles
-        rows = [(_PART, 0, articles, sum(need for _, need, _ in texts), pages)]
-        for h, short, lo, hi, n in streams.runs([int.from_bytes(k[:8], "little", signed=True) for k, _, _ in texts]):
-            if not short or n >= max(least, SHARE * pages):
-                rows.append((_SHORT if short else _LONG, h, lo, hi, n))
-        rows += [(_INSIDE, h, 0, 0, n) for h, n in streams.shared(max(least, SHARE * articles))]
+        rows = [(_PART, 0, articles, needs, pages, None)]
+        if parts > 1 or needs:
+            names, lo, hi = streams.long_runs(list(range(len(texts))))
+            twice = lo < hi
+            if parts == 1:
+                names, twice = names[twice], twice[twice]
+            bucket = names % parts
+            order = np.argsort(bucket, kind="stable")
+            names, twice, (held, counts) = names[order], twice[order], np.unique(bucket, return_counts=True)
+            for number, end, n in zip(held.tolist(), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                at = end - n
+                rows.append((_LONG, number, 0, 0, n, names[at:end].astype("<i8").tobytes() + twice[at:end].tobytes()))
+        rows += [(_SHORT, h, 0, 0, n, None) for h, n in streams.short_blocks() if n >= max(least, SHARE * pages)]
+        rows += [(_INSIDE, h, 0, 0, n, None) for h, n in streams.shared(max(least, SHARE * articles))]
         yield _run_rows(host, part, parts, rows)
 
 
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket of a host's runs, those on two pages, for each part that has some; other parts have other pages."""
+    rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+    for (host, bucket), own in itertools.groupby(rows, lambda r: (r[0], r[1])):
+        own = list(own)
+        names = [np.frombuffer(r[5], "<i8", r[4]) for r in own]
+        marks = np.concatenate([np.frombuffer(r[5], bool, r[4], 8 * r[4]) for r in own])
+        found, at, parts = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+        bad = parts > 1
+        bad[at[marks]] = True
+        out = []
+        for (_, _, part, parts, _, _), held in zip(own, names, strict=True):
+            hit = held[bad[np.searchsorted(found, held)]]
+            if len(hit):
+                out.append((host, part, parts, bucket, hit.tobytes()))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "part", "parts", "run", "blocks"])
+
+
+def _told(told: list, kind: int) -> set[int]:
+    """The runs of a kind among those told to a part."""
+    return {h for k, run, packed in told if k == kind for h in (np.frombuffer(packed, "<i8").tolist() if packed is not None else (run,))}
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many pages or articles of each part the short blocks and runs told to it stand."""
     for host, part, parts, texts, told in _parts(batches):
-        streams, told = _streams(texts), set(told)
-        rows = [(_SHORT, h, 0, 0, n) for h, short, _, _, n in streams.runs([0] * len(texts)) if short and (_SHORT, h) in told]
-        rows += [(_INSIDE, h, 0, 0, n) for h, n in streams.shared(1) if (_INSIDE, h) in told]
+        streams, short, inside = _streams(texts), _told(told, _SHORT), _told(told, _INSIDE)
+        rows = [(_SHORT, h, 0, 0, n, None) for h, n in streams.short_blocks() if h in short] if short else []
+        rows += [(_INSIDE, h, 0, 0, n, None) for h, n in streams.shared(1) if h in inside] if inside else []
         yield _run_rows(host, part, parts, rows)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, key, unique) of the pages without article, and of the articles that runs told to their part change."""
     for host, _, _, texts, told in _parts(batches):
-        long, short, inside = ({h for k, h in told if k == kind} for kind in (_LONG, _SHORT, _INSIDE))
+        long, short, inside = (_told(told, kind) for kind in (_LONG, _SHORT, _INSIDE))
         out = []
         for (key, need, held), marks in zip(texts, _streams(texts).marks(long, short, inside), strict=True):
             if need or (held[:1] == "2" and any(m.any() for m in marks)):
@@ -437,7 +477,7 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, (sizes.agg(F.sum("bytes")).first()[0] or 0) // (16 * part_bytes))
 
     def parts(pages: DataFrame, told: DataFrame | None = None) -> DataFrame:
-        """The texts of pages in the order of their parts, after the (host, part, parts, kind, run) told to them."""
+        """The texts of pages in the order of their parts, after the (host, part, parts, kind, run, packed runs as blocks) told to them."""
         held = beside(pages.select("host", "html").mapInArrow(_pack, "host string, own binary, need boolean, blocks binary"), large, "host", "left")
         held = held.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("own"), "parts").cast("int"))
         held = held.select("host", "part", "parts", "own", "need", "blocks", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("bigint").alias("run"))
@@ -450,21 +490,22 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
         return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("host", "part", "parts", "kind", "run")
 
     runs = cut(parts(source).mapInArrow(_find, _RUNS))
-    totals = runs.where(F.col("kind") == _PART).groupBy("host").agg(F.sum("n").alias("pages"), F.sum("lo").alias("articles"), F.sum("hi").alias("needs"))
+    totals = runs.where(F.col("kind") == _PART).groupBy("host").agg(F.sum("n").alias("pages"), F.sum("articles").alias("articles"), F.sum("needs").alias("needs"))
     totals = cut(totals)
     needy = cut(totals.where("needs > 0").select("host"))
 
-    # Short blocks and runs in articles that a part holds often: counted in all parts where the host has more than one.
-    often = runs.where(F.col("kind").isin(_SHORT, _INSIDE))
-    often = cut(beside(often, totals, "host").where((F.col("kind") == _INSIDE) | (F.col("needs") > 0)).groupBy("host", "parts", "kind", "run").agg(F.sum("n").alias("n")))
-    several = cut(often.where("parts > 1"))
-    counts = often.where("parts = 1")
+    # Short blocks and runs in articles that a part holds often: counted in all parts where those that hold them often don't settle it.
+    often = runs.where(F.col("kind").isin(_SHORT, _INSIDE)).select("host", "parts", "kind", "run", "n")
+    often = beside(often, totals, "host").where((F.col("kind") == _INSIDE) | (F.col("needs") > 0))
+    whole = F.when(F.col("kind") == _SHORT, F.col("pages")).otherwise(F.col("articles"))
+    enough = (F.col("n") >= MANY) & (F.col("n") >= SHARE * F.col("whole"))
+    often = cut(often.groupBy("host", "parts", "kind", "run", whole.alias("whole")).agg(F.sum("n").alias("n")))
+    found, several = often.where(enough), cut(often.where(~enough & (F.col("parts") > 1) & (F.col("whole") >= MANY)))
     if not several.isEmpty():
         again = flagged(source, several.select("host").distinct(), ["host"], "told").where("told")
-        again = parts(again, everywhere(several)).mapInArrow(_count, _RUNS)
-        counts = counts.unionByName(cut(again.groupBy("host", "parts", "kind", "run").agg(F.sum("n").alias("n"))))
-    whole = F.when(F.col("kind") == _SHORT, F.col("pages")).otherwise(F.col("articles"))
-    found = cut(beside(counts, totals, "host").where((F.col("n") >= MANY) & (F.col("n") >= SHARE * whole)).select("host", "parts", "kind", "run"))
+        again = parts(again, everywhere(several)).mapInArrow(_count, _RUNS).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"))
+        found = found.unionByName(several.drop("n").join(again, ["host", "kind", "run"]).where(enough))
+    found = cut(found.select("host", "parts", "kind", "run"))
 
     hosts = cut(needy.union(found.where(F.col("kind") == _INSIDE).select("host")).distinct())
 
@@ -482,9 +523,9 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
         return scanned(source).select("page_id", "url", "text")
 
     # Long runs go to the parts that hold them, the others to all of the host.
-    long = cut(beside(runs.where(F.col("kind") == _LONG), needy, "host", "left_semi"))
-    bad = cut(long.groupBy("host", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "run"))
-    told = beside(long, bad, ["host", "run"], "left_semi").select("host", "part", "parts", "kind", "run").unionByName(everywhere(found))
+    long = beside(runs.where(F.col("kind") == _LONG), needy, "host", "left_semi").select("host", "run", "part", "parts", "n", "packed")
+    long = long.repartition(tasks, "host", "run").sortWithinPartitions("host", "run").mapInArrow(_twice, "host string, part int, parts int, run bigint, blocks binary")
+    told = long.withColumn("kind", F.lit(_LONG)).unionByName(everywhere(found), allowMissingColumns=True)
     marked = flagged(source, hosts, ["host"], "hot")
     texts = parts(marked.where("hot"), told).mapInArrow(_finish, "host string, own binary, unique string")
     made = scanned(marked.where("hot")).join(texts, ["host", "own"], "left").select("page_id", "url", F.coalesce("unique", "text").alias("text"))
